@@ -12,6 +12,7 @@ from textloom.llm import bpe, packing, sharding, token_file
 from textloom.llm.common import scratch_dir
 from textloom.llm.line_rules import LineRules
 from textloom.llm.minhash import NearDuplicates
+from textloom.llm.passages import RepeatedPassages
 from textloom.llm.quality import QualityScores
 
 N_SHARDS = 40
@@ -59,6 +60,11 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(documents(spark, sf_dir)).verdicts()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op4_quality_classifier, op5_token_file, op6_histogram_sharding, op8_line_rules, op9_minhash_dedup)}
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches that go, and for each the document that keeps its words."""
+    return RepeatedPassages(documents(spark, sf_dir)).stretches()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op4_quality_classifier, op5_token_file, op6_histogram_sharding, op8_line_rules, op9_minhash_dedup, op10_repeated_passages)}
 
 ORACLES: dict[str, str] = {}
