@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, packing, sharding, token_file
+from textloom.llm import bpe, hamming, packing, sharding, token_file
 from textloom.llm.common import scratch_dir
 from textloom.llm.line_rules import LineRules
 from textloom.llm.minhash import NearDuplicates
@@ -52,6 +52,10 @@ def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LineRules(documents(spark, sf_dir)).verdicts().select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
@@ -65,6 +69,6 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RepeatedPassages(documents(spark, sf_dir)).stretches()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op4_quality_classifier, op5_token_file, op6_histogram_sharding, op8_line_rules, op9_minhash_dedup, op10_repeated_passages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op4_quality_classifier, op5_token_file, op6_histogram_sharding, op7_multi_index_hashing, op8_line_rules, op9_minhash_dedup, op10_repeated_passages)}
 
 ORACLES: dict[str, str] = {}
