@@ -72,7 +72,7 @@ class Index:
         distance = np.full(n, -1, np.int64)
         found = np.zeros(0, np.int64)
         for s in range(9):  # bits by which a substring may differ
-            rows = [self.order[self.starts[j, v] : self.starts[j, v + 1], j] for j in range(self.m) for v in (self.near[s] ^ code[j])]
+            rows = [self.order[self.starts[j, v] : self.starts[j, v + 1], j] for j in range(self.m) for v in (self.near[s] ^ code[j]).tolist()]
             fresh = np.unique(np.concatenate(rows))
             fresh = fresh[distance[fresh] < 0]
             distance[fresh] = self.weight[self.codes[fresh] ^ code].sum(1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import bpe, hamming, packing, sharding, token_file
 from textloom.llm.common import scratch_dir
+from textloom.llm.cross_entropy import Losses
 from textloom.llm.line_rules import LineRules
 from textloom.llm.minhash import NearDuplicates
 from textloom.llm.passages import RepeatedPassages
@@ -34,6 +35,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's losses; the target are the documents labelled as of good quality, the background all others."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg((F.max("quality") == 1).alias("target"))
+    docs = documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id", "left")
+    return Losses(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).scores()
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return QualityScores(documents(spark, sf_dir), labels).scores().select("doc_id", "held_out", "score", "predicted")
@@ -69,6 +77,6 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RepeatedPassages(documents(spark, sf_dir)).stretches()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op4_quality_classifier, op5_token_file, op6_histogram_sharding, op7_multi_index_hashing, op8_line_rules, op9_minhash_dedup, op10_repeated_passages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_cross_entropy_difference, op4_quality_classifier, op5_token_file, op6_histogram_sharding, op7_multi_index_hashing, op8_line_rules, op9_minhash_dedup, op10_repeated_passages)}
 
 ORACLES: dict[str, str] = {}
