@@ -35,7 +35,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similarity 0.8 stays: that of the smallest id. Of rows of one id and equal words one stays."""
+    """One document of each component of similarity 0.8 stays: that of the smallest id. Rows of one id are one document."""
     verdicts = NearDuplicates(docs, Plan(numerator=80, denominator=100, bands=32, rows=4)).verdicts()
     gone = verdicts.where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(stored(gone), "doc_id", "left_anti").select(*COLUMNS)
