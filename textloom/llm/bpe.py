@@ -42,7 +42,8 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes one piece. States and pair checks are made on demand and forgotten beyond a bound."""
 
-    STATES, PAIRS = 150_000, 400_000
+    STATES, PAIRS = 60_000, 150_000
+    NEVER = 1 << 60
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -59,12 +60,24 @@ class Transducer:
                     self.ends.append(-1)
                 node = after
             self.ends[node] = rank
+        # the least rank of a token of two bytes or more on the way to a node or below it: when what begins so can first grow
+        self.grows, self.way = [self.NEVER] * len(self.children), [self.NEVER] * len(self.children)
+        for node in range(len(self.children) - 1, 0, -1):  # children have higher numbers
+            for after in self.children[node].values():
+                self.grows[node] = min(self.grows[node], self.grows[after], self.ends[after] if self.ends[after] >= 0 else self.NEVER)
+        for node, children in enumerate(self.children):
+            for after in children.values():
+                if node:
+                    on_way = self.way[node] if self.ends[after] < 0 else min(self.way[node], self.ends[after])
+                    self.way[after] = on_way
+                    self.grows[after] = min(self.grows[after], on_way)
         self.split: dict[int, tuple[int, int] | None] = {}
         self.valid: dict[int, bool] = {}
+        self.joins: dict[int, int] = {}
         self._forget()
 
     def _forget(self) -> None:
-        start = ((-1, (), 0),)
+        start = ((-1, self.NEVER, (), 0),)
         self.states: list[tuple] = [start]
         self.numbers = {start: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -126,31 +139,57 @@ class Transducer:
             else:
                 right.pop()
 
+    def crossing(self, last: int, byte: int) -> int:
+        """The rank at which a token's end merges with this byte, if the byte hasn't merged with what follows by then."""
+        if last < 0:
+            return self.NEVER
+        key = last << 8 | byte
+        known = self.joins.get(key)
+        if known is None:
+            right = [last]
+            while (h := self.halves(right[-1])) is not None:
+                right.append(h[1])
+            known, single = self.NEVER, self.tokens[self.ranks[bytes([byte])]]
+            while right:
+                part = right.pop()
+                across = self.ranks.get(self.tokens[part] + single, self.NEVER)
+                if across < (right[-1] if right else self.NEVER):
+                    known = across
+                    break
+            self.joins[key] = known
+        return known
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """One new transition: (state, tokens that are now certain)."""
+        """One new transition: (state, tokens that are now certain).
+
+        Tokens that would begin at a border which merges before they can grow are given up at once.
+        """
         live, done = [], None
-        for last, pending, node in self.states[state]:
-            after = self.children[node].get(byte)
+        children, ends, grows = self.children, self.ends, self.grows
+        for last, joins, pending, node in self.states[state]:
+            after = children[node].get(byte)
             if after is None:
                 continue
+            if not node:
+                joins = self.crossing(last, byte)
             if done is None:
-                token = self.ends[after]
+                token = ends[after]
                 if token >= 0 and self.follows(last, token):
-                    done = (token, (*pending, token), 0)
-            if self.children[after]:
-                live.append((last, pending, after))
+                    done = (token, 0, (*pending, token), 0)
+            if children[after] and grows[after] < joins:
+                live.append((last, joins, pending, after))
         if done is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
         live.append(done)
-        certain = live[0][1]
-        for _, pending, _ in live[1:]:
+        certain = live[0][2]
+        for _, _, pending, _ in live[1:]:
             if pending[: len(certain)] != certain:
                 n = 0
                 while n < len(pending) and pending[n] == certain[n]:
                     n += 1
                 certain = certain[:n]
         n = len(certain)
-        key = tuple((last, pending[n:], node) for last, pending, node in live) if n else tuple(live)
+        key = tuple([(last, joins, pending[n:], node) for last, joins, pending, node in live]) if n else tuple(live)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
@@ -171,7 +210,7 @@ class Transducer:
             state, certain = move
             if certain:
                 out += certain
-        out += self.states[state][-1][1]
+        out += self.states[state][-1][2]
         return out
 
 
@@ -201,7 +240,7 @@ class Encoder:
     Stretches between single spaces that come up again are remembered (a bounded number of them), as bytes of int32.
     """
 
-    REMEMBERED = 400_000
+    REMEMBERED = 200_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         # \s of the pattern means Unicode White_Space, without the separators U+001C to U+001F
