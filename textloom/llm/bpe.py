@@ -13,7 +13,7 @@ import base64
 import gc
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -215,23 +215,31 @@ class Transducer:
 
 
 class Memory:
-    """Remembers results in two generations, so that what is asked for often survives; bounded."""
+    """Remembers the ids of strings in two generations, so that what comes often survives; bounded."""
 
-    def __init__(self, limit: int):
-        self.limit, self.new, self.old = limit // 2, {}, {}
+    LONGEST = 64
 
-    def get(self, key):
-        value = self.new.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
+    def __init__(self, limit: int, make: Callable[[list[str]], list[bytes]]):
+        self.limit, self.make, self.new, self.old = limit // 2, make, {}, {}
 
-    def put(self, key, value) -> None:
+    def joined(self, parts: list[str]) -> bytes:
+        """The ids of the parts, one after another; make() gives those that aren't known."""
         if len(self.new) >= self.limit:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+        new, old = self.new, self.old
+        try:
+            return b"".join(map(new.__getitem__, parts))
+        except KeyError:
+            pass
+        missing = [p for p in set(parts) if p not in new]
+        asked = [p for p in missing if p not in old]
+        new.update({p: old[p] for p in missing if p in old})
+        new.update(zip(asked, self.make(asked), strict=True))
+        out = b"".join(map(new.__getitem__, parts))
+        for p in asked:
+            if len(p) > self.LONGEST:
+                del new[p]
+        return out
 
 
 class Encoder:
@@ -247,18 +255,11 @@ class Encoder:
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.transducer = Transducer(ranks)
         self.cuts = " ?" in pattern and r"\s+(?!\S)" in pattern
-        self.parts, self.pieces = Memory(self.REMEMBERED), Memory(self.REMEMBERED // 2)
+        self.pieces = Memory(self.REMEMBERED // 2, lambda pieces: [array("i", self.transducer.encode(p.encode())).tobytes() for p in pieces])
+        self.parts = Memory(self.REMEMBERED, lambda parts: [self._part(" " + p) for p in parts])
 
     def _part(self, part: str) -> bytes:
-        pieces, out = self.pieces, []
-        for piece in self.pattern.findall(part):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = array("i", self.transducer.encode(piece.encode())).tobytes()
-                if len(piece) <= 64:
-                    pieces.put(piece, ids)
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+        return self.pieces.joined(self.pattern.findall(part))
 
     def encode(self, text: str | None) -> np.ndarray:
         """int32 ids; none for a null or empty text."""
@@ -267,21 +268,7 @@ class Encoder:
         if not self.cuts:
             return np.frombuffer(self._part(text), np.int32)
         parts = _SAFE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        memory, out = self.parts, []
-        known = memory.new.get
-        first = True
-        for part in parts:
-            ids = known(part)
-            if ids is None or first:
-                ids = None if first else memory.get(part)
-                if ids is None:
-                    ids = self._part(part if first else " " + part)
-                    if not first and len(part) <= 64:
-                        memory.put(part, ids)
-                known = memory.new.get
-                first = False
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        return np.frombuffer(self._part(parts[0]) + self.parts.joined(parts[1:]), np.int32)
 
 
 class Utf8Stream:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ class LibraryEncoder:
     to the library whole.
     """
 
-    REMEMBERED, PORTION = 400_000, 256
+    REMEMBERED, PORTION = 300_000, 256
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,10 +63,11 @@ class LibraryEncoder:
         self.cuts = model.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         self.added = [t["content"] for t in model.get("added_tokens", [])]
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.memory = Memory(self.REMEMBERED)
+        self.memory = Memory(self.REMEMBERED, lambda parts: self._library([" " + p for p in parts]))
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        portions = (texts[k : k + self.PORTION] for k in range(0, len(texts), self.PORTION))
+        return [array("I", e.ids).tobytes() for p in portions for e in self.library.encode_batch_fast(p, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian uint32; null counts as empty."""
@@ -79,25 +81,9 @@ class LibraryEncoder:
                 out.append(self._library([text])[0])
             else:
                 parts = _SAFE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-                out.append(self._parts(parts))
+                out.append((self._library(parts[:1])[0] if parts[0] else b"") + self.memory.joined(parts[1:]))
         return out
 
-    def _parts(self, parts: list[str]) -> bytes:
-        memory = self.memory
-        if memory.new.keys() >= (rest := set(parts[1:])):
-            ready = memory.new
-        else:
-            ready = {p: memory.get(p) for p in rest}
-            missing = [p for p, ids in ready.items() if ids is None]
-            for k in range(0, len(missing), self.PORTION):
-                portion = missing[k : k + self.PORTION]
-                for part, ids in zip(portion, self._library([" " + p for p in portion]), strict=True):
-                    ready[part] = ids
-                    if len(part) <= 64:
-                        memory.put(part, ids)
-        first = self._library([parts[0]])[0] if parts[0] else b""
-        return first + b"".join(map(ready.__getitem__, parts[1:]))
-
 
 _MADE: dict[int, LibraryEncoder] = {}
 
