@@ -2,8 +2,9 @@
 
 Under each hash function both the smallest and the largest value of a set are kept, so 2k signature values cost k
 evaluations for each shingle. Values are hashed in bands; sets that agree in a band are candidates. In each bucket the
-candidates are first compared with three members chosen by different orders; only what these leave in different
-components is compared pair by pair. Links are confirmed on the full sets.
+candidates are first compared with one member, the first by a hash. What that leaves in different components is
+compared in blocks of bounded size inside a task, which hands on only links that join components, never pairs. Links
+are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from textloom.llm.components import connected_components
 
 #: Sets of candidates up to this many may be broadcast as ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Items of one side of a comparison in memory.
+BLOCK = 512
 SKETCH_VALUES = 128
 
 
@@ -91,22 +95,70 @@ def similar(items: DataFrame, sets: Callable[[DataFrame], DataFrame], plan: Plan
     are not all returned; none between components is missing, but for what banding and sketches miss.
     """
     entries = items.select("item", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("item").alias("r0"), F.min(F.struct(F.xxhash64("item"), "item"))["item"].alias("r1"), F.max(F.struct(F.xxhash64("item"), "item"))["item"].alias("r2")).where("members > 1")
-    shared = stored(entries.join(shared, "bucket").drop("members"))
-    facts = stored(items.join(shared.select("item").distinct(), "item", "left_semi").select("item", "n", "sketch"))
-    to_star = shared.select(F.col("item").alias("x"), F.explode(F.array("r0", "r1", "r2")).alias("y")).where("x <> y")
-    pairs = to_star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    likely = stored(_likely(pairs, facts, plan))
+    first = F.min(F.struct(F.xxhash64("item"), "item"))["item"]
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), first.alias("y")).where("members > 1")
+    shared = stored(entries.join(shared, "bucket").select("bucket", F.col("item").alias("x"), "y"))
+    facts = stored(items.join(shared.select(F.col("x").alias("item")).distinct(), "item", "left_semi"))
+    pairs = shared.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     known = _Sets(sets)
-    links = stored(known.confirmed(likely, plan))
-    component = stored(connected_components(links))
-    placed = shared.select("bucket", "item").join(component.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_ = stored(placed.join(mixed, "bucket").join(facts, "item"))
-    x, y = open_.alias("x"), open_.alias("y")
-    crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & _alike("x", "y", plan)).select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct()
-    more = known.confirmed(stored(crossing.join(likely.select("a", "b"), ["a", "b"], "left_anti")), plan)
-    return links.unionByName(stored(more))
+    links = stored(known.confirmed(stored(_likely(pairs, facts, plan)), plan))
+    component = stored(connected_components(links)).withColumnRenamed("node", "item")
+    placed = shared.select("bucket", F.col("x").alias("item")).join(component, "item", "left").withColumn("component", F.coalesce("component", "item"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("item").alias("y")).where("low <> high").select("bucket", "y")
+    open_ = stored(placed.join(mixed, "bucket").select("item", "component", "y"))
+    return links.unionByName(stored(_crossing(open_, facts, known, plan)))
+
+
+def _crossing(open_: DataFrame, facts: DataFrame, known: _Sets, plan: Plan) -> DataFrame:
+    """Links between components: items that share buckets, directly or not, are dealt over blocks, and each pair of
+    blocks is one group, of at most about 2 * BLOCK items, that is compared in memory."""
+    ties = connected_components(open_.select(F.col("item").alias("a"), F.col("y").alias("b")).distinct())
+    sizes = ties.groupBy("component").agg(F.count("*").alias("members"))
+    dealt = ties.join(sizes, "component").select(F.col("node").alias("item"), F.col("component").alias("cluster"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    items = stored(open_.select("item", "component").distinct().join(dealt, "item"))
+    full = known.full(items.select("item"))
+    rows = items.join(facts, "item").join(full, "item")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "item", "component", "n", "bands", "sketch", "shingles")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(joining_links(group, plan), columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("cluster", "p", "q").applyInPandas(run, "a long, b long")
+
+
+def joining_links(group: pd.DataFrame, plan: Plan) -> list[tuple[int, int]]:
+    """Links among the rows of a group that join their components; of two blocks, only those across are looked for."""
+    item, component, block, n = (group[c].to_numpy() for c in ("item", "component", "block", "n"))
+    bands, sketch = np.stack(group["bands"].to_numpy()), np.stack(group["sketch"].to_numpy()).view(np.uint64)
+    sets = group["shingles"].to_numpy()
+    parent = {c: c for c in set(component.tolist())}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    two = len(set(block.tolist())) > 1
+    out = []
+    most_apart = 2 * plan.sketched - plan.least_agreement
+    for k in range(len(item) - 1):
+        rest = slice(k + 1, None)
+        fits = (component[rest] != component[k]) & (np.minimum(n[rest], n[k]) * plan.denominator >= np.maximum(n[rest], n[k]) * plan.numerator)
+        if two:
+            fits &= block[rest] != block[k]
+        at = k + 1 + np.flatnonzero(fits)
+        at = at[(bands[at] == bands[k]).any(axis=1)]
+        at = at[np.bitwise_count(sketch[at] ^ sketch[k]).sum(axis=1) <= most_apart]
+        for j in at.tolist():
+            x, y = root(component[k]), root(component[j])
+            if x != y:
+                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                if both * plan.denominator >= (n[k] + n[j] - both) * plan.numerator:
+                    parent[x] = y
+                    out.append((min(item[k], item[j]), max(item[k], item[j])))
+    return out
 
 
 def _alike(x: str, y: str, plan: Plan):
@@ -129,13 +181,14 @@ class _Sets:
     def __init__(self, sets: Callable[[DataFrame], DataFrame]):
         self.sets = sets
 
+    def full(self, ids: DataFrame) -> DataFrame:
+        """item and shingles, written once."""
+        ids = stored(ids)
+        return stored(self.sets(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids))
+
     def confirmed(self, pairs: DataFrame, plan: Plan) -> DataFrame:
         """The pairs of a written table whose full sets are similar enough."""
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct())
-        count = ids.count()
-        if not count:
-            return pairs
-        full = stored(self.sets(F.broadcast(ids) if count <= BROADCAST_IDS else ids))
+        full = self.full(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct())
         x, y = full.select(F.col("item").alias("a"), F.col("shingles").alias("x")), full.select(F.col("item").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         either = F.size("x") + F.size("y") - both
