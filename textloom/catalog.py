@@ -18,7 +18,7 @@ from textloom.sources import files
 from textloom.streaming import ingest
 
 FLAGSHIP = "near_duplicate_pairs"
-NOW = "timestamp'2024-06-01 00:00:00'"
+NOW = "timestamp_ntz'2024-02-13 12:00:00'"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,20 +77,22 @@ def sentence_counts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.sentences(X.one_line_ends(X.text_of("text"))).alias("s")).select("doc_id", _long(F.size("s")).alias("n_sentences"), _long(F.array_max(F.transform("s", lambda x: F.length(x)))).alias("longest"))
 
 
+def _noted(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", memory.noted("text", F.lit("text"), F.lit(False), spans=False).alias("n")).select("doc_id", "n.*")
+
+
 def risk_scores(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", X.text_of("text").alias("t")).select("doc_id", "t", memory.extracts("t").alias("e"), X.engine_tokens("t").alias("k"))
-    risk = docs.select("doc_id", F.size("e").alias("n"), memory.text_risk(F.col("t"), F.lit("text"), F.col("k"), F.size("e"), F.lit(False), F.lit(False)).alias("r"))
-    return risk.select("doc_id", _long(F.col("n")).alias("n_extracts"), F.col("r.score").alias("score"), F.col("r.level").alias("level"), F.col("r.must_expand").alias("must_expand"), F.array_join("r.reasons", ",").alias("reasons"))
+    return _noted(spark, sf_dir).select("doc_id", _long(F.size("extracts")).alias("n_extracts"), F.col("risk.score").alias("score"), F.col("risk.level").alias("level"), F.col("risk.must_expand").alias("must_expand"), F.array_join("risk.reasons", ",").alias("reasons"))
 
 
 def critical_extracts(spark, sf_dir):
-    e = _docs(spark, sf_dir).select("doc_id", F.posexplode(memory.extracts("text")).alias("i", "e"))
-    return e.select("doc_id", _long(F.col("i")).alias("i"), "e.text", "e.exact", F.array_join("e.reasons", ",").alias("reasons"), _long(F.col("e.token_estimate")).alias("tokens"))
+    e = _noted(spark, sf_dir).select("doc_id", F.posexplode("extracts").alias("i", "e"))
+    return e.select("doc_id", _long(F.col("i")).alias("i"), "e.text", "e.exact", F.array_join("e.reasons", ",").alias("reasons"), "e.token_estimate")
 
 
 def char_shapes(spark, sf_dir):
     words = _docs(spark, sf_dir).select(F.explode(X.engine_tokens("text")).alias("word")).distinct()
-    shape = words.select("word", X.char_shape("word").alias("s"))
+    shape = words.withColumn("low", F.lower(X.normalized("word"))).select("word", X.char_shape("word", F.col("low")).alias("s"))
     return shape.select("word", _long(F.col("s.length")).alias("length"), "s.prefix", "s.suffix", "s.mask", "s.vc")
 
 
@@ -100,7 +102,7 @@ def anchor_terms(spark, sf_dir):
 
 
 def text_spans(spark, sf_dir):
-    s = _docs(spark, sf_dir).select("doc_id", F.posexplode(X.spans("text")).alias("i", "s"))
+    s = _docs(spark, sf_dir).select("doc_id", F.posexplode(memory.text_spans("text")).alias("i", "s"))
     return s.select("doc_id", _long(F.col("i")).alias("i"), F.sha2("s", 256).alias("checksum"), _long(F.length("s")).alias("n_chars"))
 
 
@@ -256,7 +258,7 @@ def session_overview(spark, sf_dir):
 
 
 def prune_plan(spark, sf_dir):
-    return maintenance.prune_plan(_sessions(spark, sf_dir), F.expr(NOW), older_than_days=140, max_sessions=20).select("session_id", "reason")
+    return maintenance.prune_plan(_sessions(spark, sf_dir), F.expr(NOW), older_than_days=14, max_sessions=20).select("session_id", "reason")
 
 
 def last_usage_events(spark, sf_dir):

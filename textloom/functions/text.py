@@ -138,9 +138,11 @@ def vowel_mask(lowered: Column) -> Column:
     return run_lengths(marked)
 
 
-def char_shape(c: Column | str, k: int = 3) -> Column:
-    """length, prefix, suffix, mask, vc and histogram (letter -> share, rounded to 3 places as it grows) of a word."""
-    low = F.lower(normalized(c))
+def char_shape(c: Column | str, low: Column, k: int = 3) -> Column:
+    """length, prefix, suffix, mask, vc and histogram (letter -> share, rounded to 3 places as it grows) of a word.
+
+    low: a column with the word normalised and lower-cased.
+    """
     letters = F.regexp_replace(low, "[^a-z]", "")
     each = F.filter(F.split(letters, ""), lambda x: x != "")
     step = F.lit(1.0) / F.greatest(F.lit(1), F.length(letters))
@@ -163,24 +165,6 @@ def sentences(c: Column | str) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(c))
 
 
-def spans(c: Column | str) -> Column:
-    """Paragraphs of up to 700 units as they are, longer ones as trimmed runs of sentences of about so many."""
-    whole = one_line_ends(text_of(c))
-    parts = F.filter(F.split(whole, r"\n{2,}"), lambda p: trimmed(p) != "")
-    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(whole))
-
-    def packed(paragraph: Column) -> Column:
-        start = F.struct(F.lit("").alias("buffer"), F.array().cast("array<string>").alias("out"))
-
-        def add(state: Column, sentence: Column) -> Column:
-            full = (units(F.concat(state["buffer"], sentence)) > W.SPAN) & (trimmed(state["buffer"]) != "")
-            return F.struct(F.when(full, sentence).otherwise(F.concat(state["buffer"], sentence)).alias("buffer"), F.when(full, F.concat(state["out"], F.array(trimmed(state["buffer"])))).otherwise(state["out"]).alias("out"))
-
-        return F.aggregate(sentences(paragraph), start, add, lambda s: F.when(trimmed(s["buffer"]) != "", F.concat(s["out"], F.array(trimmed(s["buffer"])))).otherwise(s["out"]))
-
-    return F.flatten(F.transform(parts, lambda p: F.when(units(p) <= W.SPAN, F.array(p)).otherwise(packed(p))))
-
-
 def has_number(c: Column) -> Column:
     return c.rlike(NUMBER)
 
@@ -225,19 +209,3 @@ def reasons(sentence: Column, tokens: Column) -> Column:
 def fixed(value: Column, places: int) -> Column:
     """Rounded half up."""
     return F.floor(value * 10**places + 0.5) / 10**places
-
-
-def risk(estimate: Column, protected: Column, number: Column, action: Column, code: Column, n_extracts: Column, errors: Column, changes: Column) -> Column:
-    """Additive risk of compressing a text: score, level, confidence, ambiguity, flags and reasons."""
-    parts = (
-        ("protected-terms", 22, protected), ("numbers", 16, number), ("negation-or-control-action", 18, action & protected), ("code", 18, code), ("many-critical-extracts", 12, n_extracts >= 4),
-        ("errors-or-stack-traces", 20, errors), ("changes-of-mind", 16, changes), ("long-context", 8, estimate > 400),
-    )
-    hundredths = F.least(F.lit(98), sum((F.when(flag, points).otherwise(0) for _, points, flag in parts), F.lit(8)))
-    score = hundredths / 100
-    return F.struct(
-        score.alias("score"), F.when(hundredths >= 70, "high").when(hundredths >= 40, "medium").otherwise("low").alias("level"), (F.greatest(F.lit(5), 100 - hundredths) / 100).alias("confidence"),
-        score.alias("semantic_loss_risk"), (F.least(F.lit(95), hundredths + F.when(n_extracts == 0, 18).otherwise(0)) / 100).alias("ambiguity_risk"),
-        ((hundredths >= 72) | errors).alias("must_expand"), (hundredths >= 40).alias("should_expand"),
-        F.filter(F.array(*[F.when(flag, F.lit(name)) for name, _, flag in parts]), lambda r: r.isNotNull()).alias("reasons"),
-    )

@@ -122,10 +122,10 @@ SALIENCE = rf"""CASE WHEN NOT regexp_matches(t, '[A-Za-z0-9]') THEN 0.0::DOUBLE
 + CASE WHEN regexp_matches(t, '[A-Z][a-z]+[A-Z]|_') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[0-9]') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, '^[A-Z][A-Za-z0-9_''-]+$') THEN 2 ELSE 0 END + greatest(0.0::DOUBLE, 3.0::DOUBLE - i * 0.05::DOUBLE) END"""
 
 _RUNS = """c AS (SELECT word, i, {cls} AS c FROM (SELECT word, unnest(range(1, length({of}) + 1)) AS i, {of} AS of FROM w)), r AS (SELECT *, i - row_number() OVER (PARTITION BY word, c ORDER BY i) AS island FROM c),
-{name} AS (SELECT word, string_agg(c || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END, '' ORDER BY at) AS {name} FROM (SELECT word, c, island, min(i) AS at, count(*) AS n FROM r GROUP BY ALL) GROUP BY word)"""
+{name} AS (SELECT word, string_agg(c || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END, '' ORDER BY start_at) AS {name} FROM (SELECT word, c, island, min(i) AS start_at, count(*) AS n FROM r GROUP BY ALL) GROUP BY word)"""
 _MASK = _RUNS.format(name="mask", of="word", cls=rf"CASE WHEN regexp_matches(substr(of, i, 1), '[A-Z]') THEN 'U' WHEN regexp_matches(substr(of, i, 1), '[a-z]') THEN 'L' WHEN regexp_matches(substr(of, i, 1), '[0-9]') THEN 'D' WHEN substr(of, i, 1) = '_' THEN '_' ELSE 'P' END")
 _VC = _RUNS.format(name="vc", of="lower(word)", cls="CASE WHEN NOT regexp_matches(substr(of, i, 1), '[a-z]') THEN 'O' WHEN regexp_matches(substr(of, i, 1), '[aeiouy]') THEN 'V' ELSE 'C' END").replace("c AS (", "c2 AS (").replace("FROM c)", "FROM c2)").replace("r AS (SELECT *", "r2 AS (SELECT *").replace("FROM r GROUP", "FROM r2 GROUP")
-_NOW = "TIMESTAMP '2024-06-01 00:00:00'"
+_NOW = "TIMESTAMP '2024-02-13 12:00:00'"
 _SESSIONS = "s AS (SELECT user_id AS session_id, max(ts) AS last_accessed_at, count(*) AS n_events FROM events GROUP BY user_id)"
 
 SQL = {
@@ -140,7 +140,7 @@ SQL = {
     "sentence_reasons": f"WITH {FLAGGED} SELECT doc_id, reason, count(*) AS n FROM (SELECT doc_id, unnest(reasons) AS reason FROM s5) GROUP BY ALL",
     "sentence_counts": f"WITH {SENTENCES} SELECT doc_id, len(l)::BIGINT AS n_sentences, list_max(list_transform(l, lambda x: length(x)))::BIGINT AS longest FROM s1",
     "risk_scores": f"WITH {RISK} SELECT * FROM risk",
-    "critical_extracts": f"WITH {EXTRACTS} SELECT doc_id, (k - 1)::BIGINT AS i, text, text = s AS exact, array_to_string(reasons, ',') AS reasons, {estimate('s')} AS tokens FROM e",
+    "critical_extracts": f"WITH {EXTRACTS} SELECT doc_id, (k - 1)::BIGINT AS i, text, text = s AS exact, array_to_string(reasons, ',') AS reasons, {estimate('s')} AS token_estimate FROM e",
     "char_shapes": f"WITH w AS (SELECT DISTINCT unnest({tokens('text')}) AS word FROM documents), {_MASK}, {_VC} SELECT word, length(lower(word))::BIGINT AS length, left(lower(word), 3) AS prefix, right(lower(word), 3) AS suffix, mask, vc FROM w JOIN mask USING (word) JOIN vc USING (word)",
     "anchor_terms": f"WITH a AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS t FROM (SELECT doc_id, {tokens('text')} AS l FROM documents)), b AS (SELECT doc_id, i, t, {SALIENCE} AS score FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS n FROM b WHERE score > 0) SELECT doc_id, i::BIGINT AS index, t AS token FROM c WHERE n <= 12",
     "conversation_memory": "SELECT conv_id, count(*) AS n_messages, " + ", ".join(f"count_if({_FLAG[n]})::BIGINT AS n_{n}" for n in _NAMES) + " FROM conversations GROUP BY conv_id",
@@ -160,7 +160,7 @@ SELECT docs.k AS doc_id, items.k AS item_id, count(*) AS shared, floor(count(*)
     "usage_summary": f"WITH e AS (SELECT role, {estimate('text')} AS r, {estimate('c')} AS c FROM (SELECT role, text, {clamp('text', 120)} AS c FROM conversations)) SELECT role, count(*) AS operations, sum(r)::BIGINT AS raw_tokens, sum(c)::BIGINT AS compressed_tokens, sum(r - c)::BIGINT AS token_delta, CASE WHEN sum(r) = 0 THEN 0.0::DOUBLE ELSE floor((1 - sum(c)::DOUBLE / sum(r)::DOUBLE) * 10000 + 0.5) / 10000 END AS savings_ratio, count_if(c <= floor(r * 0.85::DOUBLE))::BIGINT AS compressed_operations, count_if(c > floor(r * 0.85::DOUBLE))::BIGINT AS skipped_operations FROM e GROUP BY role",
     "session_stats": "SELECT conv_id AS session_id, count(*) AS active_documents, count(*) AS active_handles, (SELECT sum(b)::BIGINT FROM (SELECT DISTINCT text, strlen(text) AS b FROM conversations i WHERE i.conv_id = o.conv_id)) AS approx_memory_bytes, sum(strlen(text))::BIGINT AS referenced_source_bytes FROM conversations o GROUP BY conv_id",
     "session_overview": f"WITH {_SESSIONS} SELECT session_id, n_events, greatest(0, floor((epoch({_NOW}) - floor(epoch(last_accessed_at))) / 86400.0))::BIGINT AS days_idle, (epoch({_NOW}) - floor(epoch(last_accessed_at))) / 86400.0 >= 14 AS is_stale, row_number() OVER (ORDER BY last_accessed_at DESC, session_id) AS place FROM s",
-    "prune_plan": f"WITH {_SESSIONS}, m AS (SELECT *, last_accessed_at < {_NOW} - INTERVAL 140 DAY AS old FROM s), k AS (SELECT session_id, row_number() OVER (ORDER BY last_accessed_at DESC, session_id DESC) AS n FROM m WHERE NOT old) SELECT session_id, 'age' AS reason FROM m WHERE old UNION ALL SELECT session_id, 'count' FROM k WHERE n > 20",
+    "prune_plan": f"WITH {_SESSIONS}, m AS (SELECT *, last_accessed_at < {_NOW} - INTERVAL 14 DAY AS old FROM s), k AS (SELECT session_id, row_number() OVER (ORDER BY last_accessed_at DESC, session_id DESC) AS n FROM m WHERE NOT old) SELECT session_id, 'age' AS reason FROM m WHERE old UNION ALL SELECT session_id, 'count' FROM k WHERE n > 20",
     "last_usage_events": "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5",
     "ledger_summary": "WITH l AS (SELECT * FROM (VALUES ('q1', 1000, 380, 2, 2), ('regression', 100, 130, 1, 0), ('q3', 400, 130, 0, 0)) v(id, raw, total, required, recovered)) SELECT count(*) AS cases, floor((sum(raw) - sum(total)) / sum(raw) * 1e6 + 0.5) / 1e6 AS aggregate_reduction, floor(quantile_disc((raw - total) / raw, 0.5) * 1e6 + 0.5) / 1e6 AS median_reduction, floor(sum(recovered) / sum(required) * 1e6 + 0.5) / 1e6 AS fact_fidelity, string_agg(CASE WHEN total > raw THEN id END, ',' ORDER BY id) AS regressions, sum(raw)::BIGINT AS raw_tokens, sum(total)::BIGINT AS compact_tokens FROM l",
     "label_quality_by_risk": f"WITH {RISK} SELECT level, quality, count(*) AS n, sum(toxic)::BIGINT AS toxic FROM risk JOIN labels USING (doc_id) GROUP BY ALL",

@@ -30,7 +30,7 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
     error = F.when(F.col("length") > MAX_FILE, "too large").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
-    text = F.decode("content", F.lit("utf-8"))
+    text = F.decode("content", "utf-8")
     return files.select("path", F.col("length").alias("byte_length"), F.concat_ws(":", "length", F.unix_millis("modificationTime")).alias("version"), X.file_mode("path").alias("mode"), F.when(error.isNull(), text).alias("text"), error.alias("error"))
 
 
