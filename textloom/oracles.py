@@ -71,8 +71,6 @@ _M = "18446744073709551616::UHUGEINT"
 
 def fnv(x: str) -> str:
     """FNV-1a of a string's UTF-8 bytes, as UHUGEINT."""
-    byte = f"CAST('0x' || hex(encode({x})) [2 * i + 1 : 2 * i + 2] AS UHUGEINT)"
-    del byte
     return (
         f"list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(strlen({x})), lambda i: CAST('0x' || substr(hex(encode({x})), 2 * i::INT + 1, 2) AS UHUGEINT))), "
         f"lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {_M})"
@@ -94,7 +92,6 @@ def token_units(table: str, key: str) -> str:
     return f"t0 AS (SELECT {key} AS k, regexp_extract_all(coalesce(text, ''), '{STRICT}') AS l FROM {table}), t AS (SELECT k, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS v FROM t0)"
 
 
-HEX = "printf('%016x', hash)"
 HEX = "lpad(lower(to_hex(hash)), 16, '0')"
 FP = f"{token_units('documents', 'doc_id')}, {grams('t', W.TOKEN_GRAM, W.TOKEN_WINDOW)}"
 SHARED = f"""{FP}, c AS (SELECT hash FROM fp GROUP BY hash HAVING count(*) <= 128), p AS (SELECT * FROM fp JOIN c USING (hash)),
@@ -121,10 +118,10 @@ _ERROR = r"(?i)\b(error|exception|failed|failure|traceback|stack)\b"
 SALIENCE = rf"""CASE WHEN NOT regexp_matches(t, '[A-Za-z0-9]') THEN 0.0::DOUBLE ELSE least(10, length(t)) - CASE WHEN lower(t) IN ({q(W.STOPWORDS)}) THEN 6 ELSE 0 END + CASE WHEN {protected('t')} THEN 8 ELSE 0 END
 + CASE WHEN regexp_matches(t, '[A-Z][a-z]+[A-Z]|_') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[0-9]') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, '^[A-Z][A-Za-z0-9_''-]+$') THEN 2 ELSE 0 END + greatest(0.0::DOUBLE, 3.0::DOUBLE - i * 0.05::DOUBLE) END"""
 
-_RUNS = """c AS (SELECT word, i, {cls} AS c FROM (SELECT word, unnest(range(1, length({of}) + 1)) AS i, {of} AS of FROM w)), r AS (SELECT *, i - row_number() OVER (PARTITION BY word, c ORDER BY i) AS island FROM c),
-{name} AS (SELECT word, string_agg(c || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END, '' ORDER BY start_at) AS {name} FROM (SELECT word, c, island, min(i) AS start_at, count(*) AS n FROM r GROUP BY ALL) GROUP BY word)"""
+_RUNS = """{name}_c AS (SELECT word, i, {cls} AS c FROM (SELECT word, unnest(range(1, length({of}) + 1)) AS i, {of} AS of FROM w)), {name}_r AS (SELECT *, i - row_number() OVER (PARTITION BY word, c ORDER BY i) AS island FROM {name}_c),
+{name} AS (SELECT word, string_agg(c || CASE WHEN n > 1 THEN n::VARCHAR ELSE '' END, '' ORDER BY start_at) AS {name} FROM (SELECT word, c, island, min(i) AS start_at, count(*) AS n FROM {name}_r GROUP BY ALL) GROUP BY word)"""
 _MASK = _RUNS.format(name="mask", of="word", cls=rf"CASE WHEN regexp_matches(substr(of, i, 1), '[A-Z]') THEN 'U' WHEN regexp_matches(substr(of, i, 1), '[a-z]') THEN 'L' WHEN regexp_matches(substr(of, i, 1), '[0-9]') THEN 'D' WHEN substr(of, i, 1) = '_' THEN '_' ELSE 'P' END")
-_VC = _RUNS.format(name="vc", of="lower(word)", cls="CASE WHEN NOT regexp_matches(substr(of, i, 1), '[a-z]') THEN 'O' WHEN regexp_matches(substr(of, i, 1), '[aeiouy]') THEN 'V' ELSE 'C' END").replace("c AS (", "c2 AS (").replace("FROM c)", "FROM c2)").replace("r AS (SELECT *", "r2 AS (SELECT *").replace("FROM r GROUP", "FROM r2 GROUP")
+_VC = _RUNS.format(name="vc", of="lower(word)", cls="CASE WHEN NOT regexp_matches(substr(of, i, 1), '[a-z]') THEN 'O' WHEN regexp_matches(substr(of, i, 1), '[aeiouy]') THEN 'V' ELSE 'C' END")
 _NOW = "TIMESTAMP '2024-02-13 12:00:00'"
 _SESSIONS = "s AS (SELECT user_id AS session_id, max(ts) AS last_accessed_at, count(*) AS n_events FROM events GROUP BY user_id)"
 
