@@ -203,3 +203,21 @@ def test_cross_entropy_query(spark, texts, reference):
 
     for r in rows[:40]:
         assert abs(loss(True, t, 1, ids[r.doc_id]) - loss(False, b, t / b, ids[r.doc_id]) - r.score) < 1e-9
+
+
+def test_base_rules_against_plain_counts():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b", "c", "a b c", "é", "#", "|", " ", " ", "\n", "\t", "x y"]) for _ in range(rng.randint(0, 60)))
+        words = text.encode().split()
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        often = {w for w, n in Counter(windows).items() if n > 1}
+        covered = {k + j for k, w in enumerate(windows) if w in often for j in range(3)}
+        lines, seen, dup = text.split("\n"), set(), 0
+        for x in lines:
+            if x.encode().split():
+                dup += x in seen
+                seen.add(x)
+        s = document_stats(text)
+        assert (s["n_words"], s["n_repeat_words"], s["n_dup_lines"]) == (len(words), len(covered), dup)
+        assert s["word_chars"] == sum(len(w.decode()) for w in words) and s["n_symbols"] == sum(c in "#*$%&|<>" for c in text)
