@@ -78,7 +78,7 @@ def sentence_counts(spark, sf_dir):
 
 
 def _noted(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", memory.noted("text", F.lit("text"), F.lit(False), spans=False).alias("n")).select("doc_id", "n.*")
+    return _docs(spark, sf_dir).select("doc_id", memory.noted("text", F.lit("text"), spans=False).alias("n")).select("doc_id", "n.*")
 
 
 def risk_scores(spark, sf_dir):
