@@ -165,6 +165,21 @@ def test_line_rules_remove_boilerplate_and_spare_copies(spark):
     assert spark.range(1).select(without_lines(F.lit(f"a\n{common}\nb"), F.array(F.lit(h)))).first()[0] == "a\nb"
 
 
+def test_line_rules_count_documents_that_share_a_block(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    block = [line(12) for _ in range(5)]
+    docs = [(k, "\n".join([*block, line(90)]), "host") for k in range(30)]
+    words = line(200).split()
+    near = [(100 + k, " ".join([*words[: 5 * k], f"other{k}", *words[5 * k + 1 :]]) + f"\n{' '.join(words[:60])}", "host") for k in range(40)]
+    rules = LineRules(spark.createDataFrame(docs + near, "doc_id long, text string, source string"))
+    found = {r.line: r.n_docs for r in rules.frequent_lines().collect()}
+    assert found == {document_stats(x)["lines"][0]["line"]: 30 for x in block}
+    rows = {r.doc_id: r for r in rules.verdicts().collect()}
+    assert all(rows[k].kept and rows[k].removed_words == 60 for k, *_ in docs)
+    assert all(rows[k].removed_words == 0 for k, *_ in near)
+
+
 def test_packing_is_valid_and_tight():
     rng = random.Random(1)
     lengths = [rng.randint(1, 4096) for _ in range(800)]
