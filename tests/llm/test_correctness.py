@@ -180,6 +180,14 @@ def test_line_rules_count_documents_that_share_a_block(spark):
     assert all(rows[k].removed_words == 0 for k, *_ in near)
 
 
+def test_line_rules_limit_does_not_grow_with_the_host(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    docs = [(k, line(12) + ("\nshared by a few" if k < 20 else ""), "host") for k in range(4300)]
+    found = LineRules(spark.createDataFrame(docs, "doc_id long, text string, source string")).frequent_lines().collect()
+    assert [(r.line, r.n_docs) for r in found] == [(document_stats("shared by a few")["lines"][0]["line"], 20)]
+
+
 def test_packing_is_valid_and_tight():
     rng = random.Random(1)
     lengths = [rng.randint(1, 4096) for _ in range(800)]

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from textloom.llm.common import stored
 from textloom.llm.minhash import BROADCAST_IDS, NearDuplicates
 
-#: A line is boilerplate of its host from this many distinct documents on, if they are this share of the host's, too.
-LEAST_DOCS, LEAST_SHARE = 20, 0.005
+#: A line is boilerplate of its host from this many distinct documents on, whatever the host's size.
+LEAST_DOCS = 20
 #: A document is depleted if fewer words are left, or a smaller share of its words.
 LEAST_WORDS, LEAST_LEFT = 20, 0.3
 
@@ -109,8 +109,8 @@ class LineRules:
     table of counts written to the shared folder, so null and repeated ids do no harm.
     """
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_words: int = LEAST_WORDS, least_left: float = LEAST_LEFT, keep: tuple[str, ...] = ()):
-        self.limits = least_docs, least_share, least_words, least_left
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", least_docs: int = LEAST_DOCS, least_words: int = LEAST_WORDS, least_left: float = LEAST_LEFT, keep: tuple[str, ...] = ()):
+        self.limits = least_docs, least_words, least_left
         copy = F.xxhash64(F.col(text)).alias("copy")
         self.texts = docs.select(copy, F.col(text).alias("text"))
         rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), *[F.col(c).alias(f"kept_{c}") for c in keep], copy, _stats(F.col(text)).alias("s"))
@@ -118,7 +118,7 @@ class LineRules:
 
     def frequent_lines(self) -> DataFrame:
         """host, line, n_docs of the lines above the limit."""
-        least_docs, least_share, *_ = self.limits
+        least_docs, *_ = self.limits
         lines = self.table.select("host", "copy", F.explode("lines.line").alias("line")).distinct()
         often = stored(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("host", "line"))
         holders = stored(_held(lines, often, "copy"))
@@ -126,13 +126,12 @@ class LineRules:
         wanted = stored(holders.select("copy").distinct())
         texts = stored(self.texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "copy", "left_semi"))
         classes = NearDuplicates(texts, doc_id="copy").verdicts().select(F.col("doc_id").alias("copy"), F.col("component_id").alias("copy_class")).distinct()
-        counts = holders.join(classes, "copy").select("host", "line", "copy_class").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_docs)
-        hosts = self.table.where(F.size("lines") > 0).select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
-        return counts.join(hosts, "host").where(F.col("n_docs") >= least_share * F.col("n_host")).select("host", "line", "n_docs")
+        counts = holders.join(classes, "copy").select("host", "line", "copy_class").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+        return counts.where(F.col("n_docs") >= least_docs).select("host", "line", "n_docs")
 
     def verdicts(self) -> DataFrame:
         """The table with removed_words, base_failed and kept."""
-        _, _, least_words, least_left = self.limits
+        _, least_words, least_left = self.limits
         frequent = stored(self.frequent_lines())
         lines = self.table.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
         removed = _held(lines, frequent, "row").groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
