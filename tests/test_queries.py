@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -49,3 +50,13 @@ def test_native_classification_agrees_with_the_kernel(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = pairs.select("q", "c", pairs.match_kind.alias("native")).join(docs.selectExpr("doc_id as q", "text as source"), "q").join(docs.selectExpr("doc_id as c", "text as candidate"), "c")
     assert matching.classify_pairs(texts).where("native <> match_kind").count() == 0
+
+
+def test_passage_at_the_end_of_a_very_long_document(spark, tmp_path):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(60)
+    spark.createDataFrame([(1, f"{words(130_000)} {passage}"), (2, words(80))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = catalog.queries()["benchmark_contamination"](spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 7)]

@@ -169,7 +169,8 @@ def token_hashes(spark, sf_dir):
 
 
 def _fp(spark, sf_dir, table="documents", key="doc_id"):
-    return fingerprinted(_table(spark, sf_dir, table), key)
+    """All fingerprints of each text; only an interactive index has a limit for a document."""
+    return fingerprinted(_table(spark, sf_dir, table), key, limit=None)
 
 
 def token_fingerprints(spark, sf_dir):
@@ -187,7 +188,7 @@ def frequent_hashes(spark, sf_dir):
 
 
 def index_memory(spark, sf_dir):
-    return index_bytes(_fp(spark, sf_dir)).withColumnRenamed("doc_key", "doc_id")
+    return index_bytes(fingerprinted(_docs(spark, sf_dir), "doc_id")).withColumnRenamed("doc_key", "doc_id")
 
 
 def near_duplicate_pairs(spark, sf_dir):
