@@ -17,16 +17,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import BATCH_BYTES
+from textloom.llm.common import ByteHash, slices, text_bytes
 
-#: Single spaces between other characters. With patterns of the form " ?x+" no piece reaches across one.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r" \s|\s ")
+#: Marks that are a piece of their own at the end of a word.
+_MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,27 +39,87 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line.strip())}
 
 
+class HashTable:
+    """int64 keys, not negative, to int64 values, not negative; whole arrays are looked up at once."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def add(self, key: int, value: int) -> None:
+        at, mask = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - self.bits, (1 << self.bits) - 1
+        while self.keys[at] >= 0 and self.keys[at] != key:
+            at = at + 1 & mask
+        self.keys[at], self.values[at] = key, value
+        self.n += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def add_many(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that aren't there yet."""
+        at, open_, mask = self._home(keys), np.arange(len(keys)), (1 << self.bits) - 1
+        while len(open_):
+            free = open_[self.keys[at[open_]] < 0]
+            self.keys[at[free]] = keys[free]  # of several for one place the last stays
+            own = self.keys[at[open_]] == keys[open_]
+            self.values[at[open_[own]]] = values[open_[own]]
+            open_ = open_[~own]
+            at[open_] = at[open_] + 1 & mask
+        self.n += len(keys)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; -1 for keys that aren't there."""
+        mask, at = (1 << self.bits) - 1, self._home(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & mask
+            found = self.keys[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
 class Transducer:
-    """Encodes one piece. States and pair checks are made on demand and forgotten beyond a bound."""
+    """Encodes pieces. States and pair checks are made on demand and forgotten beyond a bound.
 
-    STATES, PAIRS = 60_000, 150_000
+    A state is the set of its hypotheses, one for each start that is still open: the last token before that start and
+    the trie node of the bytes since. Each transition emits the one token that, read up to here, would end the piece;
+    the token before it ends where it begins, so the sequence is read off backwards from any place that all
+    hypotheses share.
+    """
+
+    STATES, MOVES, PAIRS = 250_000, 1_000_000, 150_000
+    #: Pieces longer than this go byte by byte; so many bytes are held back before certain tokens are looked for.
+    LONG, HELD = 64, 4096
     NEVER = 1 << 60
+    _NODE = 20
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.first, self.depth = [0], [0]
         for token, rank in ranks.items():
             node = 0
-            for byte in token:
+            self.sizes[rank] = len(token)
+            for depth, byte in enumerate(token):
                 after = self.children[node].get(byte)
                 if after is None:
                     after = self.children[node][byte] = len(self.children)
                     self.children.append({})
                     self.ends.append(-1)
+                    self.first.append(token[0])
+                    self.depth.append(depth + 1)
                 node = after
             self.ends[node] = rank
+        if len(self.children) >> self._NODE:
+            raise ValueError("the vocabulary's trie is too large")
         # the least rank of a token of two bytes or more on the way to a node or below it: when what begins so can first grow
         self.grows, self.way = [self.NEVER] * len(self.children), [self.NEVER] * len(self.children)
         for node in range(len(self.children) - 1, 0, -1):  # children have higher numbers
@@ -77,10 +137,9 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        start = ((-1, self.NEVER, (), 0),)
-        self.states: list[tuple] = [start]
-        self.numbers = {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.states: list[tuple[int, ...]] = [(0,)]  # hypotheses: (last token + 1) << 20 | node
+        self.numbers = {(0,): 0}
+        self.moves = HashTable(21)
 
     def merged(self, piece: bytes, least: int = 1) -> list[int]:
         """The merges themselves, lowest rank first and leftmost on ties, down to `least` parts: used on single tokens."""
@@ -146,6 +205,8 @@ class Transducer:
         key = last << 8 | byte
         known = self.joins.get(key)
         if known is None:
+            if len(self.joins) >= self.PAIRS:
+                self.joins.clear()
             right = [last]
             while (h := self.halves(right[-1])) is not None:
                 right.append(h[1])
@@ -159,116 +220,283 @@ class Transducer:
             self.joins[key] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """One new transition: (state, tokens that are now certain).
+    def _move(self, state: int, byte: int) -> int:
+        """One new transition: next state << 20 | token that ends here.
 
         Tokens that would begin at a border which merges before they can grow are given up at once.
         """
-        live, done = [], None
-        children, ends, grows = self.children, self.ends, self.grows
-        for last, joins, pending, node in self.states[state]:
-            after = children[node].get(byte)
+        live, token = [], -1
+        children, mask = self.children, (1 << self._NODE) - 1
+        for hypothesis in self.states[state]:
+            after = children[hypothesis & mask].get(byte)
             if after is None:
                 continue
-            if not node:
-                joins = self.crossing(last, byte)
-            if done is None:
-                token = ends[after]
-                if token >= 0 and self.follows(last, token):
-                    done = (token, 0, (*pending, token), 0)
-            if children[after] and grows[after] < joins:
-                live.append((last, joins, pending, after))
-        if done is None:
+            last = (hypothesis >> self._NODE) - 1
+            if token < 0 and (end := self.ends[after]) >= 0 and self.follows(last, end):
+                token = end
+            if children[after] and self.grows[after] < self.crossing(last, self.first[after]):
+                live.append(last + 1 << self._NODE | after)
+        if token < 0:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        live.append(done)
-        certain = live[0][2]
-        for _, _, pending, _ in live[1:]:
-            if pending[: len(certain)] != certain:
-                n = 0
-                while n < len(pending) and pending[n] == certain[n]:
-                    n += 1
-                certain = certain[:n]
-        n = len(certain)
-        key = tuple([(last, joins, pending[n:], node) for last, joins, pending, node in live]) if n else tuple(live)
+        live.append(token + 1 << self._NODE)
+        key = tuple(live)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = (number, certain)
+        move = number << 20 | token
+        self.moves.add(state << 8 | byte, move)
         return move
 
+    def _step(self, states: np.ndarray, read: np.ndarray) -> np.ndarray:
+        """The transitions of many states, those that are new made first."""
+        keys = states << 8 | read
+        out = self.moves.get(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            some, at = np.unique(keys[new], return_inverse=True)
+            out[new] = np.array([self._move(k >> 8, k & 255) for k in some.tolist()], np.int64)[at]
+        return out
+
+    def encode_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(int32 ids of all pieces, how many each has). Pieces step through the transducer side by side."""
+        parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(pieces), 32_768):
+            if len(self.states) > self.STATES or self.moves.n > self.MOVES:
+                self._forget()
+            ids, n = self._block(pieces[start : start + 32_768])
+            parts.append(ids)
+            counts.append(n)
+        return np.concatenate(parts), np.concatenate(counts)
+
+    def _block(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begins = np.cumsum(lengths) - lengths
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        ends = np.zeros(len(data), np.int64)  # the token that ends at each byte
+        used = np.zeros(len(data), bool)
+        for k in np.flatnonzero(lengths > self.LONG).tolist():
+            at = int(begins[k])
+            for token in self.stream(pieces[k]):
+                at += int(self.sizes[token])
+                ends[at - 1], used[at - 1] = token, True
+        order = np.argsort(-lengths, kind="stable")
+        order = order[(lengths[order] <= self.LONG) & (lengths[order] > 0)]
+        sizes, first = lengths[order], begins[order]
+        states = np.zeros(len(order), np.int64)
+        for at in range(int(sizes[0]) if len(order) else 0):
+            n = int(np.searchsorted(-sizes, -at))  # pieces that are longer
+            move = self._step(states[:n], data[first[:n] + at])
+            states[:n] = move >> 20
+            ends[first[:n] + at] = move & 0xFFFFF
+        at = first + sizes - 1
+        while len(at):
+            used[at] = True
+            before = at - self.sizes[ends[at]]
+            open_ = before >= first
+            at, first = before[open_], first[open_]
+        total = np.append(0, np.cumsum(used))
+        return ends[used].astype(np.int32), total[begins + lengths] - total[begins]
+
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
+        """The ids of one piece, byte by byte in bounded memory: a token is emitted once all open hypotheses share it."""
+        state, ends, begin, n = 0, [], 0, 0  # ends[k]: the token that ends at byte begin + k
+        mask = (1 << self._NODE) - 1
+        for byte in data:
+            move = int(self.moves.get(np.array([state << 8 | byte]))[0])
+            if move < 0:
+                if len(self.states) > self.STATES or self.moves.n > self.MOVES:
+                    kept = self.states[state]
+                    self._forget()
+                    state = self.numbers.setdefault(kept, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(kept)
+                move = self._move(state, byte)
+            state = move >> 20
+            ends.append(move & 0xFFFFF)
+            n += 1
+            if len(ends) >= self.HELD and len(ends) % self.HELD == 0:
+                chains = [self._chain(ends, n - begin - self.depth[h & mask]) for h in self.states[state]]
+                certain = max(set(chains[0]).intersection(*chains[1:]), default=0)
+                yield from self._read(ends, certain)
+                ends, begin = ends[certain:], begin + certain
+        yield from self._read(ends, len(ends))
+
+    def _chain(self, ends: list[int], place: int) -> list[int]:
+        """The borders of the sequence that ends at a place."""
+        out = [place]
+        while place > 0:
+            place -= int(self.sizes[ends[place - 1]])
+            out.append(place)
+        return out
+
+    def _read(self, ends: list[int], place: int) -> list[int]:
+        return [ends[p - 1] for p in reversed(self._chain(ends, place)[:-1])]
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(self.states) > self.STATES:
-            self._forget()
-        out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state, certain = move
-            if certain:
-                out += certain
-        out += self.states[state][-1][2]
-        return out
+        return [whole] if whole is not None else self.encode_many([piece])[0].tolist()
 
 
-class Memory:
-    """Remembers the ids of strings in two generations, so that what comes often survives; bounded."""
-
-    LONGEST = 64
-
-    def __init__(self, limit: int, make: Callable[[list[str]], list[bytes]]):
-        self.limit, self.make, self.new, self.old = limit // 2, make, {}, {}
-
-    def joined(self, parts: list[str]) -> bytes:
-        """The ids of the parts, one after another; make() gives those that aren't known."""
-        if len(self.new) >= self.limit:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        try:
-            return b"".join(map(new.__getitem__, parts))
-        except KeyError:
-            pass
-        missing = [p for p in set(parts) if p not in new]
-        asked = [p for p in missing if p not in old]
-        new.update({p: old[p] for p in missing if p in old})
-        new.update(zip(asked, self.make(asked), strict=True))
-        out = b"".join(map(new.__getitem__, parts))
-        for p in asked:
-            if len(p) > self.LONGEST:
-                del new[p]
-        return out
+#: White space that isn't ASCII; no space beside it is taken for the end of a part.
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+class Parts:
+    """The ids of texts from those of their parts, the stretches between single spaces.
+
+    No piece of the pattern reaches across a single space between other characters. A part is known by two 64-bit
+    hashes of its bytes; the ids of parts seen before are gathered from one array, and make() is asked for the others
+    of a whole list of texts at once. What is remembered is bounded, and begun anew beyond that. Texts with white
+    space that isn't ASCII go to make() whole.
+    """
+
+    BITS, IDS = 21, 6_000_000
+    LONGEST = 256
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        """make: (ids of all given strings, how many each has)."""
+        self.make, self.hash, self.check = make, ByteHash(31, lower=False), ByteHash(32, lower=False)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table = HashTable(self.BITS)
+        self.checks = np.zeros(1 << self.BITS, np.uint64)
+        self.place, self.size = np.zeros(1 << self.BITS, np.int32), np.zeros(1 << self.BITS, np.int32)
+        self.ids, self.used = np.zeros(self.IDS, np.int32), 0
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(int32 ids of all texts, where each text's begin and the last's end)."""
+        odd = pc.match_substring_regex(texts.fill_null(""), _WIDE_SPACE.pattern).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd)) if odd.any() else texts
+        ids, stops = self._plain(plain)
+        if not odd.any():
+            return ids, stops
+        made, sizes = self.make(texts.filter(pa.array(odd)).to_pylist())
+        own, wide, plain_k = [], iter(np.split(made, np.cumsum(sizes)[:-1])), 0
+        for is_odd in odd.tolist():
+            if is_odd:
+                own.append(next(wide))
+            else:
+                own.append(ids[stops[plain_k] : stops[plain_k + 1]])
+                plain_k += 1
+        return np.concatenate(own), np.append(0, np.cumsum([len(x) for x in own]))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = text_bytes(texts)
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        blank = _BLANK[data]
+        begin_of = np.zeros(n, bool)
+        begin_of[offsets[:-1][offsets[:-1] < n]] = True
+        space = data == 32
+        space[1:] &= ~blank[:-1]
+        space[:-1] &= ~blank[1:]
+        space &= ~begin_of
+        last = offsets[1:][offsets[1:] > 0] - 1
+        space[last] = False
+        # each safe space begins a part; it is told apart from a text's first part by its first byte
+        begins = np.flatnonzero(space | begin_of)
+        ends = np.append(begins[1:], n)
+        keys = (self.hash(data, begins, ends) >> np.uint64(1)).view(np.int64)
+        checks = self.check(data, begins, ends)
+        found = self.table.get(keys)
+        new = np.flatnonzero((found < 0) | (self.checks[found] != checks))
+        if len(new):
+            if self.table.n + len(new) > (1 << self.BITS) * 0.6 or self.used > self.IDS * 0.8:
+                self._forget()
+                found[:] = -1
+                new = np.arange(len(keys))
+            _, first, at = np.unique(checks[new], return_index=True, return_inverse=True)
+            asked = new[first]
+            raw = data.tobytes()
+            made, sizes = self.make([raw[a:b].decode() for a, b in zip(begins[asked].tolist(), ends[asked].tolist(), strict=True)])
+            place = np.cumsum(sizes) - sizes
+            # a key that is there already (with another check), is new twice, or too long, is used once
+            _, once = np.unique(keys[asked], return_index=True)
+            fresh = np.zeros(len(asked), bool)
+            fresh[once] = True
+            kept = np.flatnonzero(fresh & (self.table.get(keys[asked]) < 0) & (ends[asked] - begins[asked] <= self.LONGEST))
+            kept = kept[(self.used + np.cumsum(sizes[kept]) <= self.IDS) & (np.arange(len(kept)) + self.table.n < (1 << self.BITS) * 0.7)]
+            rows = self.table.n + np.arange(len(kept))
+            self.table.add_many(keys[asked[kept]], rows)
+            stops = self.used + np.cumsum(sizes[kept])
+            self.checks[rows], self.size[rows], self.place[rows] = checks[asked[kept]], sizes[kept], stops - sizes[kept]
+            if len(kept):
+                kept_ids = np.arange(int(stops[-1]) - self.used) + np.repeat(place[kept] - (stops - sizes[kept] - self.used), sizes[kept])
+                self.ids[self.used : int(stops[-1])] = made[kept_ids]
+                self.used = int(stops[-1])
+            number = np.full(len(asked), -1)
+            number[kept] = rows
+            found[new] = number[at]
+            left = np.flatnonzero(found < 0)
+            of_new = np.zeros(len(keys), np.int64)
+            of_new[new] = at
+        size, start = self.size[found].astype(np.int64), self.place[found].astype(np.int64)
+        source = self.ids[: self.used]
+        if len(new) and len(left):
+            size[left], start[left] = sizes[of_new[left]], self.used + place[of_new[left]]
+            source = np.concatenate([source, made])
+        stops = np.cumsum(size)
+        total = int(stops[-1])
+        ids = source[np.arange(total) + np.repeat(start - (stops - size), size)]
+        of_text = np.append(0, stops)[np.searchsorted(begins, offsets)]
+        return ids, of_text
 
 
 class Encoder:
     """Encodes texts: splits them by the pattern and sends each match through the transducer.
 
-    Stretches between single spaces that come up again are remembered (a bounded number of them), as bytes of int32.
     """
 
-    REMEMBERED = 200_000
-
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         # \s of the pattern means Unicode White_Space, without the separators U+001C to U+001F
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.transducer = Transducer(ranks)
+        get = ranks.get
+        self.whole = lambda piece: get(piece, -1)
         self.cuts = " ?" in pattern and r"\s+(?!\S)" in pattern
-        self.pieces = Memory(self.REMEMBERED // 2, lambda pieces: [array("i", self.transducer.encode(p.encode())).tobytes() for p in pieces])
-        self.parts = Memory(self.REMEMBERED, lambda parts: [self._part(" " + p) for p in parts])
+        #: runs of letters are pieces of their own, with the space before them
+        self.letters = r" ?\p{L}+|" in pattern
+        self.parts = Parts(self._made)
+
+    def _made(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces, stops, letters, split = [], [], self.letters, self.pattern.findall
+        for part in parts:
+            if letters and part[1:].isalpha() and part[0] == " ":
+                pieces.append(part)
+            elif letters and part[-1:] in _MARKS and part[1:-1].isalpha() and part[0] == " ":
+                pieces += (part[:-1], part[-1])
+            else:
+                pieces += split(part)
+            stops.append(len(pieces))
+        numbers: dict[str, int] = {}
+        at = np.fromiter((numbers.setdefault(p, len(numbers)) for p in pieces), np.int64, len(pieces))
+        some = [p.encode() for p in numbers]
+        whole = np.fromiter(map(self.whole, some), np.int64, len(some))
+        open_ = np.flatnonzero(whole < 0)
+        made, counts = self.transducer.encode_many([some[k] for k in open_.tolist()])
+        place, size = np.arange(len(some)), np.ones(len(some), np.int64)
+        place[open_], size[open_] = len(some) + np.cumsum(counts) - counts, counts
+        source = np.concatenate([whole.astype(np.int32), made])
+        sizes = size[at]
+        ends = np.cumsum(sizes)
+        ids = source[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(place[at] - (ends - sizes), sizes)]
+        stops = np.append(0, ends)[np.array(stops, np.int64)]
+        return ids, np.diff(stops, prepend=0)
 
-    def _part(self, part: str) -> bytes:
-        return self.pieces.joined(self.pattern.findall(part))
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(int32 ids of all texts, where each text's begin and the last's end); none for a null or empty text."""
+        if self.cuts:
+            return self.parts.encode(texts)
+        ids, sizes = self._made(texts.fill_null("").to_pylist())
+        return ids, np.append(0, np.cumsum(sizes))
 
     def encode(self, text: str | None) -> np.ndarray:
-        """int32 ids; none for a null or empty text."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if not self.cuts:
-            return np.frombuffer(self._part(text), np.int32)
-        parts = _SAFE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return np.frombuffer(self._part(parts[0]) + self.parts.joined(parts[1:]), np.int32)
+        return self.encode_texts(pa.array([text], pa.string()))[0]
 
 
 class Utf8Stream:
@@ -342,18 +570,15 @@ def _rank_bytes(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, under 1 MB
 
 
-def id_arrays(rows: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
+def id_lists(ids: np.ndarray, places: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with a column `ids` (array<int>): the byte-level BPE ids of the column `text`.
 
     A null text counts as empty and has an empty array. An existing column `ids` is replaced; other columns and
-    repeated rows stay as they are. Texts of any length are encoded whole; output batches are closed by size.
+    repeated rows stay as they are. Texts of any length are encoded whole, about a megabyte of rows at a time.
     """
     data = _rank_bytes(df, ranks_path)
     kept = [c for c in df.columns if c.lower() != ids.lower() or c == text]
@@ -364,15 +589,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _once(Encoder, data.value, pattern)
         for batch in batches:
-            texts = batch.column(text)
-            start, rows, size = 0, [], 0
-            for k in range(len(texts)):
-                rows.append(encoder.encode(texts[k].as_py()))
-                size += rows[-1].nbytes
-                if size >= BATCH_BYTES or k == len(texts) - 1:
-                    part = batch.slice(start, len(rows))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), id_arrays(rows)], names=[*names, ids])
-                    start, rows, size = k + 1, [], 0
+            for begin, count in slices(batch.column(text)):
+                part = batch.slice(begin, count)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), id_lists(*encoder.encode_texts(part.column(text)))], names=[*names, ids])
 
     return source.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import Encoder, _once, _rank_bytes, parse_ranks
-from textloom.llm.common import stored
+from textloom.llm.common import slices, stored
 
 #: Weight of the bigram, the rest goes to the unigram; counts added to each unigram.
 BIGRAM, ADDED = 0.75, 0.5
@@ -72,10 +72,12 @@ class Losses:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = _once(Encoder, data.value, pattern)
             for batch in batches:
-                for k in range(0, batch.num_rows, 500):
-                    part = batch.slice(k, 500)
-                    rows = [encoder.encode(t.as_py()) for t in part.column("text")]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("target"), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.astype("<u4" if self_size >= 1 << 16 else "<u2").tobytes() for r in rows], pa.binary())], names=["doc_id", "target", "n_tokens", "ids"])
+                for k, count in slices(batch.column("text")):
+                    part = batch.slice(k, count)
+                    ids, places = encoder.encode_texts(part.column("text"))
+                    data = ids.astype("<u4" if self_size >= 1 << 16 else "<u2")
+                    packed = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer((places * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("target"), pa.array(np.diff(places)), packed], names=["doc_id", "target", "n_tokens", "ids"])
 
         self_size = self.size
         rows = docs.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))

@@ -1,22 +1,19 @@
 """Quality rules: per-document limits, and lines that recur in many documents of a host.
 
 Lines are normalised (A-Z lowered, words joined by one space) and hashed. For each host and line the distinct documents
-are counted; copies of one document count once: those of equal text, and those that the near-duplicate operator links
-by their full sets of shingles. Lines above the limit are removed, and documents of which too little is left are
-rejected.
+are counted: those whose whole normalised texts (all words, A-Z lowered) are equal count once, any others apart. Lines
+above the limit are removed, and documents of which too little is left are rejected.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import stored
-from textloom.llm.minhash import BROADCAST_IDS, NearDuplicates
+from textloom.llm.common import hot_join, stored
 
 #: A line is boilerplate of its host from this many distinct documents on, whatever the host's size.
 LEAST_DOCS = 20
@@ -31,10 +28,10 @@ _SYMBOL[list(_SYMBOLS)] = True
 _STATS = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("word_chars", T.LongType()), T.StructField("n_symbols", T.LongType()),
     T.StructField("n_dup_lines", T.LongType()), T.StructField("n_repeat_words", T.LongType()),
-    T.StructField("lines", T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("words", T.IntegerType())]))),
+    T.StructField("body", T.LongType()), T.StructField("lines", T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("words", T.IntegerType())]))),
 ])
 _LINES = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))
-_ARROW = pa.struct([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("lines", _LINES)])
+_ARROW = pa.struct([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("body", pa.int64()), ("lines", _LINES)])
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -60,7 +57,8 @@ def line_hash(words: list[bytes]) -> int:
 
 
 def document_stats(text: str | None) -> dict:
-    """The counts of the base rules and, for each distinct normalised line: hash, words in all its occurrences."""
+    """The counts of the base rules, a hash of the whole normalised text and, for each distinct normalised line: hash,
+    words in all its occurrences."""
     text = text or ""
     data = text.encode()
     words = data.split()
@@ -77,7 +75,7 @@ def document_stats(text: str | None) -> dict:
     spaces = sum(data.count(bytes([c])) for c in (32, 9, 10, 11, 12, 13))
     return {
         "n_words": len(words), "word_chars": len(text) - spaces, "n_symbols": int(_SYMBOL[np.frombuffer(data, np.uint8)].sum()), "n_dup_lines": dup, "n_repeat_words": repeated_words(words),
-        "lines": [{"line": h, "words": n} for h, n in lines.items()],
+        "body": line_hash(words), "lines": [{"line": h, "words": n} for h, n in lines.items()],
     }
 
 
@@ -93,15 +91,6 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def _held(lines: DataFrame, some: DataFrame, by: str) -> DataFrame:
-    """Rows of lines whose host and line are in the table `some`.
-
-    A line's rows are dealt over 64 portions, as one line may be in a large part of all documents.
-    """
-    portions = some.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("portion"))
-    return lines.withColumn("portion", F.pmod(F.xxhash64(by), F.lit(64)).cast("int")).join(portions, ["host", "line", "portion"]).drop("portion")
-
-
 class LineRules:
     """The rules over one table of documents. host, doc_id and text name its columns; others are not read.
 
@@ -111,31 +100,24 @@ class LineRules:
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", least_docs: int = LEAST_DOCS, least_words: int = LEAST_WORDS, least_left: float = LEAST_LEFT, keep: tuple[str, ...] = ()):
         self.limits = least_docs, least_words, least_left
-        copy = F.xxhash64(F.col(text)).alias("copy")
-        self.texts = docs.select(copy, F.col(text).alias("text"))
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), *[F.col(c).alias(f"kept_{c}") for c in keep], copy, _stats(F.col(text)).alias("s"))
-        self.table = stored(rows.select("doc_id", "host", *[f"kept_{c}" for c in keep], "copy", "s.*", F.monotonically_increasing_id().alias("row")))
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), *[F.col(c).alias(f"kept_{c}") for c in keep], _stats(F.col(text)).alias("s"))
+        self.table = stored(rows.select("doc_id", "host", *[f"kept_{c}" for c in keep], "s.*", F.monotonically_increasing_id().alias("row")))
 
     def frequent_lines(self) -> DataFrame:
-        """host, line, n_docs of the lines above the limit."""
+        """host, line, n_docs of the lines above the limit, and n_rows, the rows that hold them."""
         least_docs, *_ = self.limits
-        lines = self.table.select("host", "copy", F.explode("lines.line").alias("line")).distinct()
-        often = stored(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("host", "line"))
-        holders = stored(_held(lines, often, "copy"))
-        # near copies are looked for among documents with a line that enough texts have; the others decide nothing
-        wanted = stored(holders.select("copy").distinct())
-        texts = stored(self.texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "copy", "left_semi"))
-        classes = NearDuplicates(texts, doc_id="copy").verdicts().select(F.col("doc_id").alias("copy"), F.col("component_id").alias("copy_class")).distinct()
-        counts = holders.join(classes, "copy").select("host", "line", "copy_class").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-        return counts.where(F.col("n_docs") >= least_docs).select("host", "line", "n_docs")
+        lines = self.table.select("host", "body", F.explode("lines.line").alias("line"))
+        # each distinct document counts once for a line; both steps combine before they exchange
+        copies = lines.groupBy("host", "line", "body").agg(F.count("*").alias("n"))
+        return copies.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_rows")).where(F.col("n_docs") >= least_docs)
 
     def verdicts(self) -> DataFrame:
         """The table with removed_words, base_failed and kept."""
         _, least_words, least_left = self.limits
-        frequent = stored(self.frequent_lines())
+        frequent = stored(self.frequent_lines().drop("n_docs"))
         lines = self.table.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
-        removed = _held(lines, frequent, "row").groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
-        out = self.table.drop("lines", "copy").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+        removed = hot_join(lines, frequent, ["host", "line"], "n_rows").groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
+        out = self.table.drop("lines", "body").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
         left = F.col("n_words") - F.col("removed_words")
         depleted = (F.col("removed_words") > 0) & ((left < least_words) | (left < least_left * F.col("n_words")))
         return out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).withColumn("kept", ~F.col("base_failed") & ~depleted)

@@ -18,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import hash_words, lower_words, mix64, odd_constants, shingle_hashes, stored
+from textloom.llm.common import all_shingles, distinct_counts, long_lists, mix64, odd_constants, ragged_longs, sequence_keys, shingle_hashes, slices, stored, word_hashes
 from textloom.llm.components import connected_components
 
 #: Sets of candidates up to this many may be broadcast as ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Items of one side of a comparison in memory.
 BLOCK = 512
+#: Shingles of one side at most, but for a set that is larger by itself.
+BLOCK_SHINGLES = 500_000
 SKETCH_VALUES = 128
+#: Bytes of text that are hashed together.
+PORTION = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -54,33 +58,30 @@ class Plan:
 class MinMax:
     """Signatures of one plan."""
 
-    BLOCK = 2048
-
     def __init__(self, plan: Plan):
         self.plan = plan
         self.a, self.b = odd_constants(plan.functions, 11), odd_constants(plan.functions, 12)
         self.mixers = odd_constants(plan.bands * plan.rows, 13).reshape(plan.bands, plan.rows)
         self.seeds = odd_constants(plan.bands, 14)
 
-    def values(self, shingles: np.ndarray) -> np.ndarray:
-        """The minima, then the maxima."""
-        low = high = None
-        for k in range(0, len(shingles), self.BLOCK):
-            y = shingles[k : k + self.BLOCK, None] * self.a + self.b
-            least, most = y.min(0), y.max(0)
-            low = least if low is None else np.minimum(low, least)
-            high = most if high is None else np.maximum(high, most)
-        return np.concatenate([low, high])
+    def values(self, shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A row for each set: the minima, then the maxima. A set's shingles begin at its start; none is empty."""
+        k = self.plan.functions
+        out = np.empty((len(starts), 2 * k), np.uint64)
+        for j in range(k if len(starts) else 0):
+            y = shingles * self.a[j] + self.b[j]
+            out[:, j], out[:, k + j] = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
+        return out
 
     def bands(self, values: np.ndarray) -> np.ndarray:
-        used = values[: self.plan.bands * self.plan.rows].reshape(self.plan.bands, self.plan.rows)
-        return mix64((mix64(used) * self.mixers).sum(1, dtype=np.uint64) + self.seeds).view(np.int64)
+        used = values[:, : self.plan.bands * self.plan.rows].reshape(-1, self.plan.bands, self.plan.rows)
+        return mix64((mix64(used) * self.mixers).sum(2, dtype=np.uint64) + self.seeds).view(np.int64)
 
     def sketch(self, values: np.ndarray) -> np.ndarray:
         """Two bits of each value, in longs."""
-        bits = (mix64(values[: self.plan.sketched]) & np.uint64(3)).astype(np.uint8)
-        packed = np.packbits(np.concatenate([bits & 1, bits >> 1]))
-        return np.pad(packed, (0, -len(packed) % 8)).view(np.int64)
+        bits = (mix64(values[:, : self.plan.sketched]) & np.uint64(3)).astype(np.uint8)
+        packed = np.packbits(np.concatenate([bits & 1, bits >> 1], axis=1), axis=1)
+        return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.int64)
 
 
 _LONGS = pa.list_(pa.int64())
@@ -110,17 +111,26 @@ def similar(items: DataFrame, sets: Callable[[DataFrame], DataFrame], plan: Plan
 
 
 def _crossing(open_: DataFrame, facts: DataFrame, known: _Sets, plan: Plan) -> DataFrame:
-    """Links between components: items that share buckets, directly or not, are dealt over blocks, and each pair of
-    blocks is one group, of at most about 2 * BLOCK items, that is compared in memory."""
-    ties = connected_components(open_.select(F.col("item").alias("a"), F.col("y").alias("b")).distinct())
-    sizes = ties.groupBy("component").agg(F.count("*").alias("members"))
-    dealt = ties.join(sizes, "component").select(F.col("node").alias("item"), F.col("component").alias("cluster"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    items = stored(open_.select("item", "component").distinct().join(dealt, "item"))
+    """Links between components: items that share buckets, directly or not, form a cluster. The members of its largest
+    component need no comparison with each other, so only the others are compared, with all: they and the largest
+    component are dealt over blocks of bounded size, and each pair of blocks is one group, compared in memory."""
+    ties = connected_components(open_.select(F.col("item").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("node").alias("item"), F.col("component").alias("cluster"))
+    items = stored(open_.select("item", "component").distinct().join(ties, "item").join(facts.select("item", "n"), "item"))
+    parts = items.groupBy("cluster", "component").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    largest = parts.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    parts = parts.join(largest, "cluster").groupBy("cluster", (F.col("component") == F.col("largest")).alias("main")).agg(F.sum("members").alias("members"), F.sum("size").alias("size"))
+    dealt = parts.withColumn("blocks", blocks).groupBy("cluster").agg(F.sum(F.when(F.col("main"), F.col("blocks"))).alias("main_blocks"), F.sum(F.when(~F.col("main"), F.col("blocks"))).alias("other_blocks"))
+    items = items.join(largest, "cluster").join(dealt, "cluster").withColumn("main", F.col("component") == F.col("largest"))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
+    items = stored(items.select("cluster", "item", "component", "main", "block", F.col("main_blocks").cast("int").alias("main_blocks"), F.col("other_blocks").cast("int").alias("other_blocks")))
     full = known.full(items.select("item"))
     rows = items.join(facts, "item").join(full, "item")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "item", "component", "n", "bands", "sketch", "shingles")
+    with_main = F.transform(F.sequence(F.lit(0), F.when(F.col("main"), F.col("other_blocks")).otherwise(F.col("main_blocks")) - 1), lambda k: F.struct(F.when(F.col("main"), k).otherwise(F.col("block")).alias("p"), (-1 - F.when(F.col("main"), F.col("block")).otherwise(k)).alias("q")))
+    with_others = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("p"), F.greatest(F.col("block"), k).alias("q")))
+    rows = rows.withColumn("group", F.explode(F.when(F.col("main"), with_main).otherwise(F.concat(with_main, with_others))))
+    side = F.when(F.col("group.q") < 0, F.col("main").cast("int")).otherwise(F.col("block"))
+    rows = rows.select("cluster", "group.*", side.alias("block"), "item", "component", "n", "bands", "sketch", "shingles")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(joining_links(group, plan), columns=["a", "b"]).astype("int64")
@@ -195,15 +205,6 @@ class _Sets:
         return pairs.join(x, "a").join(y, "b").where(both * plan.denominator >= either * plan.numerator).select("a", "b")
 
 
-def key_columns(hashes: np.ndarray) -> tuple[int, int]:
-    """A 128-bit key of a sequence of word hashes, as two signed longs."""
-    place = np.arange(1, len(hashes) + 1, dtype=np.uint64)
-    one = mix64(hashes + mix64(place))
-    two = mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + mix64(place + np.uint64(1 << 40)))
-    keys = mix64(np.array([one.sum(dtype=np.uint64), two.sum(dtype=np.uint64)]) + np.uint64(len(hashes)))
-    return int(keys[0].view(np.int64)), int(keys[1].view(np.int64))
-
-
 class NearDuplicates:
     """Components of documents whose sets of word shingles are similar; see the plan.
 
@@ -220,17 +221,16 @@ class NearDuplicates:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for text in batch.column("text"):
-                    hashes = hash_words(lower_words(text.as_py()))
-                    if not len(hashes):
-                        rows.append((0, None, None, None, None))
-                        continue
-                    shingles = np.unique(shingle_hashes(hashes, plan.width))
-                    values = minmax.values(shingles)
-                    rows.append((len(shingles), *key_columns(hashes), minmax.bands(values), minmax.sketch(values)))
-                n, k1, k2, bands, sketch = zip(*rows, strict=True) if rows else ([],) * 5
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, _LONGS), pa.array(sketch, _LONGS)], names=["doc_id", "n", "k1", "k2", "bands", "sketch"])
+                for k, count in slices(batch.column("text"), PORTION):
+                    hashes, places, _, _ = word_hashes(batch.column("text").slice(k, count))
+                    some = np.diff(places) > 0
+                    begins, sizes = places[:-1][some], np.diff(places)[some]
+                    shingles, starts = all_shingles(hashes, begins, sizes, plan.width)
+                    values = minmax.values(shingles, starts[:-1])
+                    n, k1, k2 = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)
+                    n[some] = distinct_counts(shingles, starts)
+                    k1[some], k2[some] = sequence_keys(hashes, begins, sizes)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, count), pa.array(n), pa.array(k1, mask=~some), pa.array(k2, mask=~some), long_lists(minmax.bands(values), some), long_lists(minmax.sketch(values), some)], names=["doc_id", "n", "k1", "k2", "bands", "sketch"])
 
         self.facts = stored(self.docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"))
         known = self.facts.where("n > 0 and doc_id is not null")
@@ -243,17 +243,14 @@ class NearDuplicates:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                items, sets = [], []
-                for row in range(batch.num_rows):
-                    hashes = hash_words(lower_words(batch.column("text")[row].as_py()))
-                    if key_columns(hashes) == (batch.column("k1")[row].as_py(), batch.column("k2")[row].as_py()):
-                        items.append(batch.column("item")[row].as_py())
-                        sets.append(np.unique(shingle_hashes(hashes, plan.width)).view(np.int64))
-                    if len(items) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sets, _LONGS)], names=["item", "shingles"])
-                        items, sets = [], []
-                if items:
-                    yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sets, _LONGS)], names=["item", "shingles"])
+                for k, count in slices(batch.column("text"), PORTION):
+                    part = batch.slice(k, count)
+                    hashes, places, _, _ = word_hashes(part.column("text"))
+                    rows = np.flatnonzero(np.diff(places) > 0)
+                    k1, k2 = sequence_keys(hashes, places[:-1][rows], np.diff(places)[rows])
+                    rows = rows[(k1 == part.column("k1").to_numpy()[rows]) & (k2 == part.column("k2").to_numpy()[rows])]
+                    sets = [np.unique(shingle_hashes(hashes[places[r] : places[r + 1]], plan.width)) for r in rows.tolist()]
+                    yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(rows)), ragged_longs(np.concatenate([np.zeros(0, np.uint64), *sets]), np.append(0, np.cumsum([len(x) for x in sets])))], names=["item", "shingles"])
 
         wanted = stored(wanted)
         if wanted.count() <= BROADCAST_IDS // 4:

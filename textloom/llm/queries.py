@@ -74,7 +74,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stretches that go, and for each the document that keeps its words."""
-    return RepeatedPassages(documents(spark, sf_dir)).stretches()
+    return RepeatedPassages(documents(spark, sf_dir)).stretches().drop("text_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_cross_entropy_difference, op4_quality_classifier, op5_token_file, op6_histogram_sharding, op7_multi_index_hashing, op8_line_rules, op9_minhash_dedup, op10_repeated_passages)}

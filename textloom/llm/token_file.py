@@ -15,17 +15,17 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import BATCH_BYTES
+from textloom.llm.common import BATCH_BYTES, slices
 
 NULL_ID = np.iinfo(np.int64).min
 
@@ -44,51 +44,79 @@ def filesystem(uri: str):
 class LibraryEncoder:
     """Ids of texts by a tokenizers file, without special tokens being added.
 
-    No piece of the byte-level split reaches across a single space between other characters, so the stretches between
-    such spaces are encoded apart, and those that come up often once. A text with the string of an added token goes
-    to the library whole.
+    No piece of the byte-level split reaches across a single space between other characters, so the parts between
+    such spaces are encoded apart, and those that come up often once. Parts that aren't remembered go to the library
+    many in one text; a token that begins with a space begins a part there. A text with the string of an added token
+    goes to the library whole.
     """
 
-    REMEMBERED, PORTION = 300_000, 256
+    PORTION = 512
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        from textloom.llm.bpe import Memory
+        from textloom.llm.bpe import Parts
 
         self.library = Tokenizer.from_str(definition)
         model = json.loads(definition)
         before = model.get("pre_tokenizer") or {}
         self.cuts = model.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         self.added = [t["content"] for t in model.get("added_tokens", [])]
-        self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.memory = Memory(self.REMEMBERED, lambda parts: self._library([" " + p for p in parts]))
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        portions = (texts[k : k + self.PORTION] for k in range(0, len(texts), self.PORTION))
-        return [array("I", e.ids).tobytes() for p in portions for e in self.library.encode_batch_fast(p, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian uint32; null counts as empty."""
-        from textloom.llm.bpe import _ODD_SPACE, _SAFE
-
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif not self.cuts or any(a in text for a in self.added):
-                out.append(self._library([text])[0])
-            else:
-                parts = _SAFE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-                out.append((self._library(parts[:1])[0] if parts[0] else b"") + self.memory.joined(parts[1:]))
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # how the files write a space
+        self.parts = Parts(self._parts)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for k in range(0, len(texts), self.PORTION):
+            out += [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts[k : k + self.PORTION], add_special_tokens=False)]
         return out
 
-
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, how many each has)."""
+        plain, other = [], []
+        for k, p in enumerate(parts):
+            (plain if p[0] == " " and len(p) > 1 and " " not in p[1:] and not p[1].isspace() and not p[-1].isspace() else other).append(k)
+        blocks = [plain[k : k + self.PORTION] for k in range(0, len(plain), self.PORTION)]
+        order, sizes, source = [], [], [_NONE]
+        for block, ids in zip(blocks, self._whole(["".join([parts[k] for k in block]) for block in blocks]), strict=True):
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(block):
+                other += block
+                continue
+            order += block
+            sizes.append(np.diff(np.append(first, len(ids))))
+            source.append(ids)
+        rest = self._whole([parts[k] for k in other])
+        source += rest
+        sizes.append(np.array([len(x) for x in rest], np.int64))
+        size, place = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        at, n = np.array(order + other, np.int64), np.concatenate(sizes)
+        size[at], place[at] = n, np.cumsum(n) - n
+        ends = np.cumsum(size)
+        return np.concatenate(source)[np.arange(int(size.sum())) + np.repeat(place - (ends - size), size)], size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(int32 ids of all texts, where each text's begin and the last's end); null counts as empty."""
+        texts = texts.fill_null("")
+        special = np.zeros(len(texts), bool) | (not self.cuts)
+        for content in self.added:
+            special |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self.parts.encode(texts)
+        ids, places = self.parts.encode(texts.filter(pa.array(~special)))
+        usual, whole = iter(np.split(ids, places[1:-1]) if len(places) > 1 else []), iter(self._whole(texts.filter(pa.array(special)).to_pylist()))
+        own = [next(whole if s else usual) for s in special.tolist()]
+        return np.concatenate([_NONE, *own]), np.append(0, np.cumsum([len(x) for x in own])).astype(np.int64)
+
+
+_NONE = np.zeros(0, np.int32)
 _MADE: dict[int, LibraryEncoder] = {}
 
 
-def library_encoder(definition: str) -> Callable[[list[str | None]], list[bytes]]:
+def library_encoder(definition: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """The encoder of a tokenizers definition, kept for the life of a Python worker."""
     key = hash(definition)
     if key not in _MADE:
@@ -100,8 +128,8 @@ def write(docs: DataFrame, definition: str, folder: str, doc_id: str = "doc_id",
     """Encodes all documents, writes them in ascending doc_id order under `folder` and returns the manifest.
 
     definition: a tokenizers file's content. end_id closes each document. Null texts count as empty (end_id only);
-    rows without doc_id come first; rows with equal doc_id stand in the order of their texts' hashes, so that they
-    can be dealt over shards. Other columns are not read. An empty table gives a manifest without shards.
+    rows without doc_id come first; rows with equal doc_id stand in the order of their texts' hashes and then of the
+    table, so that they can be dealt over shards. Other columns are not read. An empty table gives a manifest without shards.
 
     One exchange by ranges of doc_id; each task then encodes its range and writes its shard under a name of its own
     attempt, moved into place when whole, so a repeated task overwrites nothing half-way.
@@ -111,8 +139,8 @@ def write(docs: DataFrame, definition: str, folder: str, doc_id: str = "doc_id",
     top = max([end_id, *(vocabulary.values() if isinstance(vocabulary, dict) else [len(vocabulary)]), *(t["id"] for t in json.loads(definition).get("added_tokens", []))])
     dtype = "<u2" if top < 1 << 16 else "<u4"
     sent = spark.sparkContext.broadcast(definition)  # one tokenizer file, a few MB
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("nth"))
+    ordered = rows.repartitionByRange("id", "tie", "nth").sortWithinPartitions("id", "tie", "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_encoder(sent.value)
@@ -120,9 +148,7 @@ def write(docs: DataFrame, definition: str, folder: str, doc_id: str = "doc_id",
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
         name, attempt = f"shard-{part:06d}", uuid.uuid4().hex
-        end = np.array([end_id], "<u4").tobytes()
         n_docs = n_ids = 0
-        first = None
         files = {}
         for batch in batches:
             if not batch.num_rows:
@@ -131,14 +157,13 @@ def write(docs: DataFrame, definition: str, folder: str, doc_id: str = "doc_id",
                 files = {x: fs.open_output_stream(f"{base}/.{name}-{attempt}.{x}") for x in ("bin", "off", "doc")}
                 files["off"].write(np.zeros(1, "<i8").tobytes())
             ids = batch.column("id")
-            for k in range(0, batch.num_rows, 200):
-                encoded = [e + end for e in encode(batch.column("text").slice(k, 200).to_pylist())]
-                ends = n_ids + np.cumsum([len(e) // 4 for e in encoded])
-                files["bin"].write(np.frombuffer(b"".join(encoded), "<u4").astype(dtype).tobytes())
+            for k, count in slices(batch.column("text")):
+                tokens, places = encode(batch.column("text").slice(k, count))
+                ends = n_ids + places[1:] + np.arange(1, count + 1)
+                files["bin"].write(np.insert(tokens, places[1:], end_id).astype(dtype).tobytes())
                 files["off"].write(ends.astype("<i8").tobytes())
-                files["doc"].write(ids.slice(k, 200).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                n_ids, n_docs = int(ends[-1]), n_docs + len(encoded)
-            first = first if first is not None else ids[0].as_py()
+                files["doc"].write(ids.slice(k, count).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                n_ids, n_docs = int(ends[-1]), n_docs + count
         if files:
             for x, f in files.items():
                 f.close()
