@@ -9,7 +9,7 @@ from textloom.llm import packing
 from textloom.llm.common import stored
 from textloom.llm.line_rules import LineRules, without_lines
 from textloom.llm.minhash import NearDuplicates, Plan
-from textloom.llm.passages import RepeatedPassages, without_stretches
+from textloom.llm.passages import RepeatedPassages, text_key, without_stretches
 from textloom.llm.quality import QualityScores
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,12 +42,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stretches of words that an earlier document has go; so do documents of which no word is left by that."""
-    spans = RepeatedPassages(docs).stretches().groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"))
-    cut = docs.join(stored(spans), "doc_id", "left")
-    cut = cut.withColumn("before", F.col("text")).withColumn("text", without_stretches(F.col("text"), F.col("spans")))
+    """Stretches of words that an earlier document has go; so do documents of which no word is left by that.
+
+    Null texts and rows without doc_id stay as they are; rows equal in id and text lose the same words, rows of one id
+    with other texts their own.
+    """
+    spans = RepeatedPassages(docs).stretches().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"))
+    cut = docs.withColumn("text_key", text_key("text")).join(stored(spans), ["doc_id", "text_key"], "left")
+    cut = cut.withColumn("text", without_stretches(F.col("text"), F.col("spans")))
     left = cut.where(F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _with_text(left.drop("before", "spans"), F.col("text"))
+    return _with_text(left.drop("text_key", "spans"), F.col("text"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
