@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import all_shingles, distinct_counts, long_lists, mix64, odd_constants, ragged_longs, sequence_keys, shingle_hashes, slices, stored, word_hashes
+from textloom.llm.common import all_shingles, distinct_counts, hot_join, long_lists, mix64, odd_constants, ragged_longs, sequence_keys, shingle_hashes, slices, stored, word_hashes
 from textloom.llm.components import connected_components
 
 #: Sets of candidates up to this many may be broadcast as ids (8 bytes each).
@@ -28,6 +28,8 @@ BLOCK = 512
 #: Shingles of one side at most, but for a set that is larger by itself.
 BLOCK_SHINGLES = 500_000
 SKETCH_VALUES = 128
+#: Items that are compared with all others of a group at once.
+ROWS = 128
 #: Bytes of text that are hashed together.
 PORTION = 1 << 18
 
@@ -110,6 +112,10 @@ def similar(items: DataFrame, sets: Callable[[DataFrame], DataFrame], plan: Plan
     return links.unionByName(stored(_crossing(open_, facts, known, plan)))
 
 
+def blocks_of(members: Column, size: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(members / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+
 def _crossing(open_: DataFrame, facts: DataFrame, known: _Sets, plan: Plan) -> DataFrame:
     """Links between components: items that share buckets, directly or not, form a cluster. The members of its largest
     component need no comparison with each other, so only the others are compared, with all: they and the largest
@@ -117,13 +123,13 @@ def _crossing(open_: DataFrame, facts: DataFrame, known: _Sets, plan: Plan) -> D
     ties = connected_components(open_.select(F.col("item").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("node").alias("item"), F.col("component").alias("cluster"))
     items = stored(open_.select("item", "component").distinct().join(ties, "item").join(facts.select("item", "n"), "item"))
     parts = items.groupBy("cluster", "component").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
-    largest = parts.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    parts = parts.join(largest, "cluster").groupBy("cluster", (F.col("component") == F.col("largest")).alias("main")).agg(F.sum("members").alias("members"), F.sum("size").alias("size"))
-    dealt = parts.withColumn("blocks", blocks).groupBy("cluster").agg(F.sum(F.when(F.col("main"), F.col("blocks"))).alias("main_blocks"), F.sum(F.when(~F.col("main"), F.col("blocks"))).alias("other_blocks"))
-    items = items.join(largest, "cluster").join(dealt, "cluster").withColumn("main", F.col("component") == F.col("largest"))
+    clusters = parts.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("members").alias("all_members"), F.sum("size").alias("all_size"), F.max(F.struct("size", "component", "members")).alias("top"))
+    main_blocks = blocks_of(F.col("top.members"), F.col("top.size"))
+    other_blocks = blocks_of(F.col("all_members") - F.col("top.members"), F.col("all_size") - F.col("top.size"))
+    clusters = stored(clusters.select("cluster", "largest", "all_members", main_blocks.alias("main_blocks"), other_blocks.alias("other_blocks")))
+    items = hot_join(items, clusters, ["cluster"], "all_members").withColumn("main", F.col("component") == F.col("largest"))
     items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
-    items = stored(items.select("cluster", "item", "component", "main", "block", F.col("main_blocks").cast("int").alias("main_blocks"), F.col("other_blocks").cast("int").alias("other_blocks")))
+    items = stored(items.select("cluster", "item", "component", "main", "block", "main_blocks", "other_blocks"))
     full = known.full(items.select("item"))
     rows = items.join(facts, "item").join(full, "item")
     with_main = F.transform(F.sequence(F.lit(0), F.when(F.col("main"), F.col("other_blocks")).otherwise(F.col("main_blocks")) - 1), lambda k: F.struct(F.when(F.col("main"), k).otherwise(F.col("block")).alias("p"), (-1 - F.when(F.col("main"), F.col("block")).otherwise(k)).alias("q")))
@@ -153,15 +159,23 @@ def joining_links(group: pd.DataFrame, plan: Plan) -> list[tuple[int, int]]:
     two = len(set(block.tolist())) > 1
     out = []
     most_apart = 2 * plan.sketched - plan.least_agreement
-    for k in range(len(item) - 1):
-        rest = slice(k + 1, None)
-        fits = (component[rest] != component[k]) & (np.minimum(n[rest], n[k]) * plan.denominator >= np.maximum(n[rest], n[k]) * plan.numerator)
+    for begin in range(0, len(item), ROWS):
+        mine = slice(begin, begin + ROWS)
+        fits = component[mine, None] != component
+        fits &= np.minimum(n[mine, None], n) * plan.denominator >= np.maximum(n[mine, None], n) * plan.numerator
+        fits &= np.arange(len(item)) > np.arange(len(item))[mine, None]
         if two:
-            fits &= block[rest] != block[k]
-        at = k + 1 + np.flatnonzero(fits)
-        at = at[(bands[at] == bands[k]).any(axis=1)]
-        at = at[np.bitwise_count(sketch[at] ^ sketch[k]).sum(axis=1) <= most_apart]
-        for j in at.tolist():
+            fits &= block[mine, None] != block
+        apart = np.zeros(fits.shape, np.int16)
+        for k in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[mine, k, None] ^ sketch[:, k])
+        fits &= apart <= most_apart
+        some, others = np.nonzero(fits)
+        some += begin
+        meet = np.zeros(len(some), bool)
+        for k in range(bands.shape[1]):
+            meet |= bands[some, k] == bands[others, k]
+        for k, j in zip(some[meet].tolist(), others[meet].tolist(), strict=True):
             x, y = root(component[k]), root(component[j])
             if x != y:
                 both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
