@@ -325,7 +325,7 @@ def test_cross_entropy_query(spark, texts, reference):
         out, before, (pairs, words, contexts) = 0.0, v, counts[k]
         for w in own:
             one = (words[w] * by + 0.5) / (total * by + 0.5 * v)
-            out -= np.log2(0.75 * (pairs[before, w] / contexts[before] if contexts[before] else one) + 0.25 * one)
+            out -= np.log2((pairs[before, w] * by + 4 * one) / (contexts[before] * by + 4))
             before = w
         return out / max(1, len(own))
 

@@ -1,13 +1,15 @@
 """LM scoring by cross-entropy difference: a target and a background n-gram model over one vocabulary.
 
-Texts are byte-level BPE ids; a document's ids follow one start symbol. Both models are interpolated bigram models,
-with the same weights and the same vocabulary (all ids of the rank file, so no word is unknown): the target's of the
-documents marked as such, the background's of all others. They are matched in size: background counts are scaled to
-as many tokens as the target has. A document's score is its mean loss under the target model less that under the
-background model, so the lower, the more it is like the target.
+Texts are byte-level BPE ids; a document's ids follow one start symbol. Both are bigram models with a Dirichlet prior
+from their unigrams, with the same prior and the same vocabulary (all ids of the rank file, so no word is unknown): the
+target's of the documents marked as such, the background's of all others. They are matched in size: background counts,
+of unigrams and of bigrams, are scaled to as many tokens as the target has, so that the priors weigh alike. A
+document's score is its mean loss under the target model less that under the background model, so the lower, the more
+it is like the target.
 
 Bigrams are counted in portions of documents, then over all. For scoring, each portion sends one row for each of its
 bigrams, with the documents that have it and how often; the row meets its weight and leaves sums for the documents.
+The few bigrams that make up a large share of all tokens meet their weights where they are and are not exchanged.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import Encoder, _once, _rank_bytes, parse_ranks
-from textloom.llm.common import slices, stored
+from textloom.llm.common import HOT_KEYS, slices, stored
 
-#: Weight of the bigram, the rest goes to the unigram; counts added to each unigram.
-BIGRAM, ADDED = 0.75, 0.5
+#: Tokens that the prior of a bigram's context counts for; counts added to each unigram.
+PRIOR, ADDED = 4.0, 0.5
 #: Ids of a portion of documents.
 PORTION = 2_000_000
 
@@ -75,8 +77,8 @@ class Losses:
                 for k, count in slices(batch.column("text")):
                     part = batch.slice(k, count)
                     ids, places = encoder.encode_texts(part.column("text"))
-                    data = ids.astype("<u4" if self_size >= 1 << 16 else "<u2")
-                    packed = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer((places * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+                    small = ids.astype("<u4" if self_size >= 1 << 16 else "<u2")
+                    packed = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer((places * small.itemsize).astype(np.int32)), pa.py_buffer(small)])
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("target"), pa.array(np.diff(places)), packed], names=["doc_id", "target", "n_tokens", "ids"])
 
         self_size = self.size
@@ -97,7 +99,7 @@ class Losses:
         return self.tokens.select("row", "target", "ids").mapInArrow(run, "gram long, t long, b long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
     def weights(self) -> DataFrame:
-        """gram, target_loss, background_loss in bits."""
+        """gram, target_loss, background_loss in bits, and n, how often it is in all documents."""
         counts = stored(self.counts())
         total_t, total_b = (int(x or 0) for x in counts.agg(F.sum("t"), F.sum("b")).first())
         scale = total_t / total_b if total_t and total_b else 1.0
@@ -109,10 +111,9 @@ class Losses:
 
         def loss(n: str, word: str, context: str, total: float, by: float):
             unigram = (F.col(word) * by + ADDED) / F.lit(total * by + ADDED * v)
-            bigram = F.when(F.col(context) > 0, F.col(n) / F.col(context)).otherwise(unigram)
-            return -F.log2(BIGRAM * bigram + (1 - BIGRAM) * unigram)
+            return -F.log2((F.col(n) * by + PRIOR * unigram) / (F.col(context) * by + PRIOR))
 
-        return joined.select("gram", loss("t", "wt", "ct", total_t, 1.0).alias("target_loss"), loss("b", "wb", "cb", total_b, scale).alias("background_loss"))
+        return joined.select("gram", (F.col("t") + F.col("b")).alias("n"), loss("t", "wt", "ct", total_t, 1.0).alias("target_loss"), loss("b", "wb", "cb", total_b, scale).alias("background_loss"))
 
     def scores(self) -> DataFrame:
         """doc_id, n_tokens, target_loss and background_loss (mean bits a token), score (their difference).
@@ -120,13 +121,31 @@ class Losses:
         A document without tokens has losses and score 0.
         """
         size = self.size
+        weights = stored(self.weights())
+        total = weights.agg(F.sum("n")).first()[0] or 0
+        often = weights.where(F.col("n") > total / HOT_KEYS).orderBy("gram").collect()  # at most HOT_KEYS rows
+        hot = np.array([r.gram for r in often], np.int64)
+        hot_losses = np.array([(r.target_loss, r.background_loss) for r in often], np.float64).reshape(-1, 2)
+
+        def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(place in hot, whether it is there) of each bigram."""
+            at = np.minimum(np.searchsorted(hot, codes), max(0, len(hot) - 1))
+            return at, hot[at] == codes if len(hot) else np.zeros(len(codes), bool)
+
+        def met_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, _, doc, codes in _portions(size, batches):
+                at, here = split(codes)
+                t, b = (np.bincount(doc[here], weights=hot_losses[at[here], k], minlength=len(rows)) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(t.astype(np.float64)), pa.array(b.astype(np.float64))], names=["row", "t", "b"])
 
         def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, _, doc, codes in _portions(size, batches):
                 n_docs = len(rows)
+                cold = ~split(codes)[1]
+                doc, codes = doc[cold], codes[cold]
                 key, times = np.unique(codes * n_docs + doc, return_counts=True)
                 gram, local = np.divmod(key, n_docs)
-                first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+                first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
                 pair = np.stack([rows[local], times], 1).astype("<i8").ravel()
                 cut = (np.append(first, len(gram)) * 2).astype(np.int32)
                 for k in range(0, len(first), 100_000):
@@ -156,9 +175,13 @@ class Losses:
             if held:
                 yield out()
 
-        postings = self.tokens.select("row", "target", "ids").mapInArrow(posted, "gram long, posted array<long>")
-        met = postings.join(stored(self.weights()), "gram").select("posted", "target_loss", "background_loss")
-        sums = met.mapInArrow(summed, "row long, t double, b double").groupBy("row").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+        tokens = self.tokens.select("row", "target", "ids")
+        postings = tokens.mapInArrow(posted, "gram long, posted array<long>")
+        met = postings.join(weights.drop("n"), "gram").select("posted", "target_loss", "background_loss")
+        sums = met.mapInArrow(summed, "row long, t double, b double")
+        if len(hot):
+            sums = sums.unionByName(tokens.mapInArrow(met_here, "row long, t double, b double"))
+        sums = sums.groupBy("row").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
         n = F.greatest("n_tokens", F.lit(1))
         out = self.tokens.drop("ids").join(sums, "row", "left").select("doc_id", "target", "n_tokens", (F.coalesce("t", F.lit(0.0)) / n).alias("target_loss"), (F.coalesce("b", F.lit(0.0)) / n).alias("background_loss"))
         return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
