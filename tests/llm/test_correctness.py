@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import bpe, packing, passages, queries
+from textloom.llm import bpe, packing, passages, queries, sharding
 from textloom.llm.common import all_shingles, distinct_counts, shingle_hashes, word_hashes
 from textloom.llm.line_rules import LineRules, document_stats, without_lines
 from textloom.llm.minhash import NearDuplicates
@@ -78,14 +78,32 @@ def test_sharding_query(spark, texts):
         groups[keys[r.doc_id][0]].append(r)
     slots = Counter()
     for h in sorted(groups):
-        small, start = sum(r.size for r in groups[h]) * 40 * 100 <= total, at
+        size, start = sum(r.size for r in groups[h]), at
+        whole = size * 40 <= total  # a border inside the group goes to its nearer end
+        first = min(39, start * 40 // total)
+        border = (first + 1) * total - start * 40
+        mine = first + (first < 39 and 0 < border < size * 40 and 2 * border <= size * 40)
         for r in sorted(groups[h], key=lambda r: keys[r.doc_id]):
-            assert r.shard == min(39, (start if small else at) * 40 // total)
+            assert r.shard == (mine if whole else min(39, at * 40 // total))
             assert r.slot == slots[r.shard]
             slots[r.shard] += 1
             at += r.size
 
 
+def test_sharding_keeps_groups_whole_that_fit_a_shard(spark):
+    rng = random.Random(3)
+    copied = {k: " ".join(rng.choice(WORDS) for _ in range(40)) for k in range(30)}
+    rows = [(k, " ".join(rng.choice(WORDS) for _ in range(40))) for k in range(600)] + [(1000 + 100 * k + j, t) for k, t in copied.items() for j in range(rng.randint(2, 12))]
+    rows += [(9000 + j, "one group that is larger than a shard " * 8) for j in range(150)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
+    text, shards, bytes_ = dict(rows), defaultdict(set), Counter()
+    for r in found:
+        shards[text[r.doc_id]].add(r.shard)
+        bytes_[r.shard] += r.size
+    assert all(len(shards[t]) == 1 for t in copied.values()) and len(shards[text[9000]]) > 1
+    assert set(bytes_) == set(range(40)) and max(bytes_.values()) < 1.7 * sum(bytes_.values()) / 40
+
+
 def test_near_duplicates_query(spark, texts):
     sets = {i: ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := lower_words(t)) else set()) for i, t in texts.items()}
     parent, ids = {i: i for i in sets}, sorted(sets)

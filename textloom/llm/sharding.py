@@ -27,9 +27,9 @@ def _digits(column: str, bits: int):
 class _Cells:
     """The histogram so far: for each open cell where it starts, in bytes."""
 
-    def __init__(self, keyed: DataFrame, total: int, rows: int, shards: int, tolerance: float):
+    def __init__(self, keyed: DataFrame, total: int, rows: int, shards: int):
         self.keyed, self.total, self.rows, self.shards = keyed, total, rows, shards
-        self.group_limit = tolerance * total / shards
+        self.group_limit = total / shards
         self.least_hot = max(2, rows * HOT_SHARE)
         self.splitters: dict[int, tuple[int, int]] = {}
         self.hot: set[int] = set()
@@ -38,14 +38,16 @@ class _Cells:
         """Borders i (at i / shards of all bytes) with start < border < end."""
         return [i for i in range(max(1, start * self.shards // self.total), self.shards) if start * self.shards < i * self.total < end * self.shards]
 
-    def first_at(self, start: int, size: int, key: tuple[int, int], after: tuple[int, int], whole: bool) -> None:
-        """Borders at a cell's start belong to it; if it can't be cut, those inside it belong to what follows."""
+    def first_at(self, start: int, size: int, key: tuple[int, int], after: tuple[int, int], whole: bool, group: bool) -> None:
+        """Borders at a cell's start belong to it; if it can't be cut, those inside a group go to its nearer end, those
+        inside a row to what follows."""
         for i in range(1, self.shards):
             if start * self.shards == i * self.total:
                 self.splitters.setdefault(i, key)
         if whole:
             for i in self.targets(start, start + size):
-                self.splitters[i] = after
+                nearer_start = group and 2 * (i * self.total - start * self.shards) <= size * self.shards
+                self.splitters[i] = key if nearer_start else after
 
     def run(self) -> None:
         open_: dict[tuple[int, int], int] = {(0, 0): 0}  # (hash so far, row hash so far) -> start
@@ -84,21 +86,21 @@ class _Cells:
             if group and hot:
                 self.hot.add(h)
             whole = small or last or row_bits and n == 1
-            self.first_at(start, size, low, next_, bool(whole))
+            self.first_at(start, size, low, next_, bool(whole), small)
             inside = not whole and self.targets(start, start + size)
             if inside or hot and not group:
                 after[h, g] = start
         return after
 
 
-def shard_by_bytes(df: DataFrame, text_hash: str, row_hash: str, size: str, n_shards: int, tolerance: float = 0.01) -> DataFrame:
+def shard_by_bytes(df: DataFrame, text_hash: str, row_hash: str, size: str, n_shards: int) -> DataFrame:
     """df with shard (0 to n_shards - 1) and slot (gapless from 0 in each shard), the columns named replaced if present.
 
     text_hash: a long column, equal for rows of one group; row_hash: a long column that tells a group's rows apart;
-    size: each row's bytes, over 0. Rows stand in the order (text_hash, row_hash). A row goes to the shard in whose
-    byte range it starts; a group of at most `tolerance` of a shard's bytes goes where its first row goes, a larger
-    one may be cut between rows. So shards differ by that tolerance and a row's size. Rows equal in both hashes stay
-    together. An empty table stays empty.
+    size: each row's bytes, over 0. Rows stand in the order (text_hash, row_hash). A group of at
+    most a shard's bytes stays whole: a border inside it moves to its nearer end. Only a larger group is cut, between
+    rows: each goes to the shard in whose byte range it starts. So a border is off by half a group or a row's size at
+    most. Rows equal in both hashes stay together. An empty table stays empty.
 
     df is written once to the shared folder (give it narrow: keys and what has to travel), so the rows counted are
     the rows placed. Hot groups are numbered in 256 portions; no task holds a shard or a group whole.
@@ -107,7 +109,7 @@ def shard_by_bytes(df: DataFrame, text_hash: str, row_hash: str, size: str, n_sh
     half = F.lit((1 << HASH_BITS) - 1)
     keyed = stored(clean.withColumns({"h": F.shiftrightunsigned(text_hash, 4), "g": F.col(row_hash).bitwiseAND(half)}))
     total, rows = keyed.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
-    cells = _Cells(keyed.withColumn("size", F.col(size)), total, rows, n_shards, tolerance)
+    cells = _Cells(keyed.withColumn("size", F.col(size)), total, rows, n_shards)
     if rows:
         cells.run()
     top = ((1 << HASH_BITS) + 1, 0)
