@@ -326,6 +326,88 @@ def test_packing_is_valid_and_tight():
     assert sum(lengths) >= 0.97 * sum(size for _, size in used)
 
 
+def plain_best_fit(lengths, permitted, overhead):
+    """The same rule by looking at every bin and every piece that is left."""
+    left, bins, out = sorted(lengths), [], {}  # bins: [room, when it last changed, contents]
+    order = sorted(range(len(lengths)), key=lambda k: (-lengths[k], k))
+    for turn, k in enumerate(order):
+        n = lengths[k]
+        left.remove(n)
+        fitting = [b for b in bins if b[0] >= n]
+        if fitting:
+            mine = min(fitting, key=lambda b: (b[0], -b[1]))
+        else:
+
+            def price(size):
+                room, filled, rest = size - n, n, list(left)
+                while fits := [x for x in rest if x <= room]:
+                    rest.remove(fits[-1])
+                    room, filled = room - fits[-1], filled + fits[-1]
+                return (size + overhead) / filled, size
+
+            mine = [min((c for c in permitted if c >= n), key=price), 0, []]
+            bins.append(mine)
+        mine[0], mine[1] = mine[0] - n, turn
+        mine[2].append(k)
+    for b in bins:
+        used = sum(lengths[k] for k in b[2])
+        for k in b[2]:
+            out[k] = (tuple(b[2]), min(c for c in permitted if c >= used))
+    return out
+
+
+def test_packing_equals_a_plain_search_and_is_near_the_optimum():
+    rng = random.Random(11)
+    for _ in range(60):
+        permitted = rng.choice([(8, 16, 32), (10, 25), (64,)])
+        lengths = [rng.randint(1, permitted[-1]) for _ in range(rng.randint(1, 40))]
+        placed, members = packing.pack(lengths, permitted, 2), defaultdict(list)
+        for k, (b, at, size) in enumerate(placed):
+            members[b].append((at, k, size))
+        plain = plain_best_fit(lengths, permitted, 2)
+        for own in members.values():
+            for _, k, size in own:
+                assert plain[k] == (tuple(j for _, j, _ in sorted(own)), size)
+
+    def optimum(lengths, permitted):
+        best = [10**9]
+
+        def go(k, bins):
+            if k == len(lengths):
+                best[0] = min(best[0], sum(min(c for c in permitted if c >= b) for b in bins))
+                return
+            for j in range(len(bins)):
+                if bins[j] + lengths[k] <= permitted[-1]:
+                    go(k + 1, [*bins[:j], bins[j] + lengths[k], *bins[j + 1 :]])
+            go(k + 1, [*bins, lengths[k]])
+
+        go(0, [])
+        return best[0]
+
+    ratios = []
+    for _ in range(40):
+        lengths = [rng.randint(1, 16) for _ in range(7)]
+        sizes = {b: size for b, _, size in packing.pack(lengths, (8, 16), 1)}
+        ratios.append(sum(sizes.values()) / optimum(lengths, (8, 16)))
+    assert max(ratios) <= 1.5 and sum(ratios) / len(ratios) < 1.05
+
+
+def test_packed_sequences_hold_every_token(spark):
+    ids = bpe.encode(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text").persist()
+    placed = packing.pack_documents(ids, F.size("ids"))
+    own, parts = dict(ids.collect()), defaultdict(list)
+    for r in packing.sequences(placed, ids).collect():
+        assert len(r.tokens) <= r.capacity and len(r.tokens) == sum(d.length for d in r.documents)
+        for d in r.documents:
+            parts[d.doc_id].append((d.piece, r.tokens[d.offset : d.offset + d.length]))
+    assert {i: [t for _, p in sorted(ps) for t in p] for i, ps in parts.items()} == {i: t for i, t in own.items() if t}
+    same = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(100).alias("length")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # so small a table would be one task anyway
+    tasks = packing.pack_pieces(same).groupBy(F.shiftright("bin_id", 40).alias("task")).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 20_000
+
+
 def test_cross_entropy_query(spark, texts, reference):
     ranks, library = reference
     v, rows = max(ranks.values()) + 1, queries.op3_cross_entropy_difference(spark, SF).collect()

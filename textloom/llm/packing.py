@@ -109,13 +109,13 @@ def pieces(docs: DataFrame, length: Column, doc_id: str = "doc_id", longest: int
 def pack_pieces(table: DataFrame, permitted: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, block: int = BLOCK) -> DataFrame:
     """doc_id, piece, start, length, and bin_id, bin_offset and capacity of each piece.
 
-    Pieces are dealt evenly over tasks by a hash of all they have and stand there in a fixed order, so a repeated task
-    makes the same bins; each task packs one block after another in bounded memory. bin_id is the task's number times
-    2^40 and a running number. Repeated rows are packed one by one; those beyond a task's share fill further blocks.
+    Pieces are dealt evenly over tasks by a hash of all they have and of their place in the table, so repeated rows
+    are dealt apart too, and stand there in a fixed order, so a repeated task makes the same bins; each task packs one
+    block after another in bounded memory. bin_id is the task's number times 2^40 and a running number.
     """
     permitted = tuple(sorted(permitted))
     what = ["doc_id", "piece", "start", "length"]
-    dealt = table.select(*what).withColumn("deal", F.xxhash64(*what)).repartition("deal").sortWithinPartitions("deal", "doc_id", "piece")
+    dealt = table.select(*what).withColumn("deal", F.xxhash64(*what, F.monotonically_increasing_id())).repartition("deal").sortWithinPartitions("deal", "doc_id", "piece")
     schema = T.StructType([T.StructField("doc_id", table.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("bin_id", T.LongType(), False), T.StructField("bin_offset", T.IntegerType(), False), T.StructField("capacity", T.IntegerType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +145,20 @@ def pack_pieces(table: DataFrame, permitted: Sequence[int] = LENGTHS, overhead:
     return dealt.mapInArrow(run, schema)
 
 
+def sequences(placed: DataFrame, tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """bin_id, capacity, tokens (the bin's tokens in order) and documents (doc_id, piece, offset, length of each part).
+
+    placed: from pack_pieces(), with lengths in tokens; tokens: one row for each doc_id with its array of tokens.
+    Pieces of documents that aren't in `tokens`, a null id's among them, are left out. A bin's parts are gathered in
+    one row, which holds at most its capacity.
+    """
+    own = tokens.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("all_ids"))
+    cut = placed.join(own, "doc_id").select("bin_id", "capacity", "doc_id", "piece", "bin_offset", "length", F.slice("all_ids", (F.col("start") + 1).cast("int"), F.col("length")).alias("part"))
+    bins = cut.groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list(F.struct("bin_offset", "doc_id", "piece", "length", "part"))).alias("parts"))
+    documents = F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["bin_offset"].alias("offset"), p["length"].alias("length")))
+    return bins.select("bin_id", "capacity", F.flatten(F.transform("parts", lambda p: p["part"])).alias("tokens"), documents.alias("documents"))
+
+
 def word_count(text: str = "text") -> Column:
     """Words of a text (runs of anything but ASCII white space); 0 for null."""
     bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
