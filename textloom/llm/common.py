@@ -39,47 +39,48 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a table made by stored() that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/textloom-" not in name:
-            raise ValueError(f"not a scratch table: {name}")
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1][id(out)] = path, out
+    return out
 
 
-class Rows:
-    """Collects rows by column and hands out Arrow batches of bounded size."""
+def _delete(spark: SparkSession, name: str) -> None:
+    if "/textloom-" not in name:
+        raise ValueError(f"not a scratch table: {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def __init__(self, schema: pa.Schema, limit: int = BATCH_BYTES):
-        self.schema, self.limit = schema, limit
-        self.clear()
 
-    def clear(self) -> None:
-        self.columns: list[list] = [[] for _ in self.schema]
-        self.bytes = 0
+_SCOPES: list[dict[int, tuple[str, DataFrame]]] = []
 
-    def add(self, values, size: int) -> None:
-        for column, value in zip(self.columns, values, strict=True):
-            column.append(value)
-        self.bytes += size
 
-    @property
-    def full(self) -> bool:
-        return self.bytes >= self.limit
+class Scratch:
+    """A scope that deletes the tables stored in it when it ends, but for those handed to keep().
 
-    def take(self) -> pa.RecordBatch:
-        arrays = [pa.array(c, type=f.type) for c, f in zip(self.columns, self.schema, strict=True)]
-        self.clear()
-        return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
+    What a kept table's rows come from may go, as a stored table is written whole; a plan that is still lazy at the end
+    of the scope must read kept tables only. Kept tables belong to the scope around this one, if there is one.
+    """
 
-    @property
-    def empty(self) -> bool:
-        return not self.columns[0]
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Scratch:
+        _SCOPES.append({})
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df must be what stored() returned."""
+        self.kept.add(id(df))
+        return df
+
+    def __exit__(self, *failure) -> None:
+        for key, (path, df) in _SCOPES.pop().items():
+            if key in self.kept and failure[0] is None:
+                if _SCOPES:
+                    _SCOPES[-1][key] = path, df
+            else:
+                _delete(self.spark, path)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stored
+from textloom.llm.common import Scratch, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,13 +33,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     takes about the logarithm of the longest path. A node of very many links is aggregated before it is exchanged,
     and its join is one that adaptive execution splits.
     """
-    edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct())
-    state = _state(edges)
-    while state[0]:
-        edges = stored(_small_star(stored(_large_star(edges))))
-        after = _state(edges)
-        if after == state:
-            break
-        state = after
+    with Scratch(links.sparkSession) as scratch:
+        edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct())
+        state = _state(edges)
+        while state[0]:
+            edges = stored(_small_star(stored(_large_star(edges))))
+            after = _state(edges)
+            if after == state:
+                break
+            state = after
+        scratch.keep(edges)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

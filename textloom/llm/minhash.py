@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import all_shingles, distinct_counts, hot_join, long_lists, mix64, odd_constants, ragged_longs, sequence_keys, shingle_hashes, slices, stored, word_hashes
+from textloom.llm.common import Scratch, all_shingles, distinct_counts, hot_join, long_lists, mix64, odd_constants, ragged_longs, sequence_keys, shingle_hashes, slices, stored, word_hashes
 from textloom.llm.components import connected_components
 
 #: Sets of candidates up to this many may be broadcast as ids (8 bytes each).
@@ -97,19 +97,20 @@ def similar(items: DataFrame, sets: Callable[[DataFrame], DataFrame], plan: Plan
     (array<long>, distinct) of the items in the table ids (column item). Links inside a component that others make
     are not all returned; none between components is missing, but for what banding and sketches miss.
     """
-    entries = items.select("item", F.explode("bands").alias("bucket"))
-    first = F.min(F.struct(F.xxhash64("item"), "item"))["item"]
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), first.alias("y")).where("members > 1")
-    shared = stored(entries.join(shared, "bucket").select("bucket", F.col("item").alias("x"), "y"))
-    facts = stored(items.join(shared.select(F.col("x").alias("item")).distinct(), "item", "left_semi"))
-    pairs = shared.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    known = _Sets(sets)
-    links = stored(known.confirmed(stored(_likely(pairs, facts, plan)), plan))
-    component = stored(connected_components(links)).withColumnRenamed("node", "item")
-    placed = shared.select("bucket", F.col("x").alias("item")).join(component, "item", "left").withColumn("component", F.coalesce("component", "item"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("item").alias("y")).where("low <> high").select("bucket", "y")
-    open_ = stored(placed.join(mixed, "bucket").select("item", "component", "y"))
-    return links.unionByName(stored(_crossing(open_, facts, known, plan)))
+    with Scratch(items.sparkSession) as scratch:
+        entries = items.select("item", F.explode("bands").alias("bucket"))
+        first = F.min(F.struct(F.xxhash64("item"), "item"))["item"]
+        shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), first.alias("y")).where("members > 1")
+        shared = stored(entries.join(shared, "bucket").select("bucket", F.col("item").alias("x"), "y"))
+        facts = stored(items.join(shared.select(F.col("x").alias("item")).distinct(), "item", "left_semi"))
+        pairs = shared.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        known = _Sets(sets)
+        links = stored(known.confirmed(stored(_likely(pairs, facts, plan)), plan))
+        component = stored(connected_components(links)).withColumnRenamed("node", "item")
+        placed = shared.select("bucket", F.col("x").alias("item")).join(component, "item", "left").withColumn("component", F.coalesce("component", "item"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("item").alias("y")).where("low <> high").select("bucket", "y")
+        open_ = stored(placed.join(mixed, "bucket").select("item", "component", "y"))
+        return scratch.keep(stored(links.unionByName(_crossing(open_, facts, known, plan))))
 
 
 def blocks_of(members: Column, size: Column) -> Column:
@@ -148,7 +149,8 @@ def joining_links(group: pd.DataFrame, plan: Plan) -> list[tuple[int, int]]:
     """Links among the rows of a group that join their components; of two blocks, only those across are looked for."""
     item, component, block, n = (group[c].to_numpy() for c in ("item", "component", "block", "n"))
     bands, sketch = np.stack(group["bands"].to_numpy()), np.stack(group["sketch"].to_numpy()).view(np.uint64)
-    sets = group["shingles"].to_numpy()
+    known, numbers = np.unique(np.concatenate(group["shingles"].to_numpy()), return_inverse=True)
+    ids, marks = np.split(numbers, np.cumsum(n)[:-1]), np.zeros(len(known), bool)
     parent = {c: c for c in set(component.tolist())}
 
     def root(c: int) -> int:
@@ -175,11 +177,19 @@ def joining_links(group: pd.DataFrame, plan: Plan) -> list[tuple[int, int]]:
         meet = np.zeros(len(some), bool)
         for k in range(bands.shape[1]):
             meet |= bands[some, k] == bands[others, k]
-        for k, j in zip(some[meet].tolist(), others[meet].tolist(), strict=True):
-            x, y = root(component[k]), root(component[j])
-            if x != y:
-                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
-                if both * plan.denominator >= (n[k] + n[j] - both) * plan.numerator:
+        some, others = some[meet], others[meet]
+        for k in np.unique(some).tolist():
+            mine = root(component[k])
+            near = [j for j in others[some == k].tolist() if root(component[j]) != mine]
+            if not near:
+                continue
+            marks[ids[k]] = True
+            ends = np.cumsum([len(ids[j]) for j in near])
+            both = np.add.reduceat(marks[np.concatenate([ids[j] for j in near])].astype(np.int64), np.append(0, ends[:-1]))
+            marks[ids[k]] = False
+            for j in np.array(near)[both * plan.denominator >= (n[k] + n[near] - both) * plan.numerator].tolist():
+                x, y = root(component[k]), root(component[j])
+                if x != y:
                     parent[x] = y
                     out.append((min(item[k], item[j]), max(item[k], item[j])))
     return out
@@ -229,9 +239,12 @@ class NearDuplicates:
     """
 
     def __init__(self, docs: DataFrame, plan: Plan | None = None, doc_id: str = "doc_id", text: str = "text"):
-        self.plan = plan = plan or Plan()
+        self.plan = plan or Plan()
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        minmax = MinMax(plan)
+
+    def _facts(self) -> DataFrame:
+        """Set size, key, bands and sketch of every document."""
+        plan, minmax = self.plan, MinMax(self.plan)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -246,13 +259,16 @@ class NearDuplicates:
                     k1[some], k2[some] = sequence_keys(hashes, begins, sizes)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, count), pa.array(n), pa.array(k1, mask=~some), pa.array(k2, mask=~some), long_lists(minmax.bands(values), some), long_lists(minmax.sketch(values), some)], names=["doc_id", "n", "k1", "k2", "bands", "sketch"])
 
-        self.facts = stored(self.docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"))
-        known = self.facts.where("n > 0 and doc_id is not null")
+        return stored(self.docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"))
+
+    def _classes(self, facts: DataFrame) -> DataFrame:
+        """One item for each different sequence of words, with its first id."""
+        known = facts.where("n > 0 and doc_id is not null")
         classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
-        self.classes = stored(classes.withColumn("item", F.monotonically_increasing_id()))
+        return stored(classes.withColumn("item", F.monotonically_increasing_id()))
 
-    def _sets(self, ids: DataFrame) -> DataFrame:
-        wanted = self.classes.join(ids, "item", "left_semi").select("item", "k1", "k2", F.col("first_id").alias("doc_id"))
+    def _sets(self, classes: DataFrame, ids: DataFrame) -> DataFrame:
+        wanted = classes.join(ids, "item", "left_semi").select("item", "k1", "k2", F.col("first_id").alias("doc_id"))
         plan = self.plan
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +290,14 @@ class NearDuplicates:
 
     def verdicts(self) -> DataFrame:
         """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (the smallest itself; rows without id)."""
-        links = similar(self.classes.select("item", "n", "bands", "sketch"), self._sets, self.plan)
-        component = connected_components(links).withColumnRenamed("node", "item")
-        named = self.classes.select("k1", "k2", "item", "first_id").join(component, "item", "left").withColumn("component", F.coalesce("component", "item"))
-        first = named.groupBy("component").agg(F.min("first_id").alias("label"))
-        labels = named.join(first, "component").select("k1", "k2", "label")
-        out = self.facts.select("doc_id", "n", "k1", "k2").join(labels, ["k1", "k2"], "left")
-        label = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept"))
+        with Scratch(self.docs.sparkSession) as scratch:
+            facts = self._facts()
+            classes = self._classes(facts)
+            links = similar(classes.select("item", "n", "bands", "sketch"), lambda ids: self._sets(classes, ids), self.plan)
+            component = connected_components(links).withColumnRenamed("node", "item")
+            named = classes.select("k1", "k2", "item", "first_id").join(component, "item", "left").withColumn("component", F.coalesce("component", "item"))
+            first = named.groupBy("component").agg(F.min("first_id").alias("label"))
+            labels = named.join(first, "component").select("k1", "k2", "label")
+            out = facts.select("doc_id", "n", "k1", "k2").join(labels, ["k1", "k2"], "left")
+            label = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
+            return scratch.keep(stored(out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept"))))

@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import all_shingles, distinct_counts, hot_join, long_lists, mix64, odd_constants, ragged_longs, sequence_keys, shingle_hashes, slices, stored, word_hashes
+from textloom.llm.common import Scratch, all_shingles, distinct_counts, hot_join, long_lists, mix64, odd_constants, ragged_longs, sequence_keys, shingle_hashes, slices, stored, word_hashes
 from textloom.llm.components import connected_components
 from textloom.llm.minhash import PORTION, MinMax, Plan, similar
 
 #: Bands for a similarity of 0.8: a pair just there is missed three times in 10,000.
-PLAN = Plan(numerator=80, denominator=100, width=5, functions=16, bands=8, rows=2)
+PLAN = Plan(numerator=80, denominator=100, width=5, functions=32, bands=8, rows=2)
 #: Least words of a paragraph that is compared, and of a stretch that is removed; words beyond which a paragraph is cut.
 LEAST, LONGEST = 24, 200
 #: A cut of a long paragraph is the smallest of the word hashes up to so many words away on either side.
@@ -125,6 +125,9 @@ class RepeatedPassages:
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+
+    def _units(self) -> DataFrame:
+        """Paragraphs with their keys and signatures, and anchors, which have n_words 0."""
         minmax = MinMax(PLAN)
         names = ["doc_id", "text_key", "first_word", "n_words", "k1", "k2", "n", "bands", "sketch"]
 
@@ -139,7 +142,6 @@ class RepeatedPassages:
                     values = minmax.values(shingles, starts[:-1])
                     at, grams = anchors(hashes, places)
                     k1, k2 = sequence_keys(hashes, first, sizes)
-                    # paragraphs, then anchors, which have n_words 0
                     place = np.append(first, at)
                     row = np.searchsorted(places, place, "right") - 1
                     none = np.zeros(len(at), np.int64)
@@ -150,7 +152,7 @@ class RepeatedPassages:
                             pa.array(np.append(k2, none)), pa.array(np.append(distinct_counts(shingles, starts), none)), long_lists(minmax.bands(values), here), long_lists(minmax.sketch(values), here),
                         ], names=names)
 
-        self.units = stored(self.docs.mapInArrow(run, "doc_id long, text_key long, first_word int, n_words int, k1 long, k2 long, n long, bands array<long>, sketch array<long>"))
+        return stored(self.docs.mapInArrow(run, "doc_id long, text_key long, first_word int, n_words int, k1 long, k2 long, n long, bands array<long>, sketch array<long>"))
 
     def _sets(self, items: DataFrame, ids: DataFrame) -> DataFrame:
         """Full sets of some items, made from the texts."""
@@ -172,9 +174,9 @@ class RepeatedPassages:
         rows = self.docs.join(wanted, ["doc_id", "text_key"]).select("text", "spans")
         return rows.mapInArrow(run, "item long, shingles array<long>").dropDuplicates(["item"])
 
-    def _similar_paragraphs(self) -> DataFrame:
+    def _similar_paragraphs(self, units: DataFrame) -> DataFrame:
         """doc_id, text_key, first_word, n_words, source_id of paragraphs whose component has an earlier document."""
-        lines = self.units.where("n_words > 0")
+        lines = units.where("n_words > 0")
         document = F.struct("doc_id", "text_key")
         found = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "first_word", "n_words", "n", "bands", "sketch")).alias("at"), F.min(document).alias("source"), F.max(document).alias("last"), F.count("*").alias("rows"))
         found = stored(found.withColumn("item", F.monotonically_increasing_id()).select("item", "k1", "k2", "at.*", "source", "last", "rows"))
@@ -186,9 +188,9 @@ class RepeatedPassages:
         every = hot_join(lines.select("k1", "k2", "doc_id", "text_key", "first_word", "n_words"), keys, ["k1", "k2"], "rows")
         return every.where(document > F.col("first")).select("doc_id", "text_key", "first_word", "n_words", F.col("first.doc_id").alias("source_id"))
 
-    def _shared_runs(self) -> DataFrame:
+    def _shared_runs(self, units: DataFrame) -> DataFrame:
         """doc_id, text_key, first_word, n_words, source_id: all words around shared anchors that are equal."""
-        found = self.units.where("n_words = 0").select("doc_id", "text_key", "first_word", F.col("k1").alias("gram"))
+        found = units.where("n_words = 0").select("doc_id", "text_key", "first_word", F.col("k1").alias("gram"))
         document = F.struct("doc_id", "text_key")
         grams = found.groupBy("gram").agg(F.min(F.struct("doc_id", "text_key", "first_word")).alias("s"), F.max(document).alias("last"), F.count("*").alias("rows"))
         grams = grams.where(F.struct("s.doc_id", "s.text_key") < F.col("last")).select("gram", F.col("s.doc_id").alias("source_id"), F.col("s.text_key").alias("source_key"), F.col("s.first_word").alias("source_word"), "rows")
@@ -250,9 +252,11 @@ class RepeatedPassages:
         source_id is the smallest id of the documents that have a part of the stretch. Stretches of a document
         don't overlap; words are numbered from 0.
         """
-        repeated = self._similar_paragraphs().unionByName(self._shared_runs()).distinct()
-        by_doc = repeated.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_word", "n_words", "source_id")).alias("spans"))  # at most a text's paragraphs and anchors
-        return by_doc.select("doc_id", "text_key", F.explode(_merged(F.col("spans"))).alias("s")).select("doc_id", "text_key", "s.*")
+        with Scratch(self.docs.sparkSession) as scratch:
+            units = self._units()
+            repeated = self._similar_paragraphs(units).unionByName(self._shared_runs(units)).distinct()
+            by_doc = repeated.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_word", "n_words", "source_id")).alias("spans"))  # at most a text's paragraphs and anchors
+            return scratch.keep(stored(by_doc.select("doc_id", "text_key", F.explode(_merged(F.col("spans"))).alias("s")).select("doc_id", "text_key", "s.*")))
 
 
 def text_key(text: str) -> Column:
