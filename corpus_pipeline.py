@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import packing
-from textloom.llm.common import stored
+from textloom.llm.common import Scratch, stored
 from textloom.llm.line_rules import LineRules, without_lines
 from textloom.llm.minhash import NearDuplicates, Plan
 from textloom.llm.passages import RepeatedPassages, text_key, without_stretches
@@ -21,14 +21,22 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines frequent on a host go from the others. Documents without doc_id are kept as they are judged."""
+    """Rejected documents go; lines frequent on a host go from the others.
+
+    A null text has no words and is rejected; a null source is a host of its own; rows without doc_id, repeated ids and
+    repeated rows are each judged as they stand. Further columns are dropped.
+    """
     rules = LineRules(docs, keep=("text", "lang", "source", "n_chars"))
     kept = rules.verdicts().where("kept").select("doc_id", *[F.col(f"kept_{c}").alias(c) for c in COLUMNS[1:]], "removed_lines")
     return _with_text(kept, without_lines(F.col("text"), F.col("removed_lines")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on this stage's labelled documents, doesn't predict as good go."""
+    """Documents that the classifier, trained on this stage's labelled documents, doesn't predict as good go.
+
+    Empty and null texts and rows without doc_id are scored like any others; repeated rows are each scored, and count
+    each in training. Without labels every score is 0.5, and all documents stay. Ties at the threshold stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     scored = QualityScores(docs, labels, keep=COLUMNS[1:]).scores()
     return scored.where("predicted = 1").select("doc_id", *[F.col(f"kept_{c}").alias(c) for c in COLUMNS[1:]])
@@ -55,7 +63,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece of each document with its bin."""
+    """Each piece of each document with its bin.
+
+    Null texts and texts without words have no piece; a null doc_id stays null; repeated rows are packed one by one.
+    """
     return packing.pack_documents(docs)
 
 
@@ -75,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with Scratch(spark) as scratch:
+            docs = scratch.keep(stored(stage(spark, docs, sf_dir)))
     return STAGES[-1][1](spark, docs, sf_dir)
