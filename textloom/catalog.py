@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from textloom.functions import words as W
 from textloom.operators import evaluation, maintenance, matching, memory
 from textloom.operators.fingerprint import fingerprinted, hash_hex, index_bytes, postings, stop_hashes, strict_tokens
 from textloom.sources import files
+from textloom.sources.scratch import scratch_path, written
 from textloom.streaming import ingest
 
 FLAGSHIP = "near_duplicate_pairs"
@@ -59,7 +58,7 @@ def strict_token_counts(spark, sf_dir):
 
 
 def keyword_only_documents(spark, sf_dir):
-    return fingerprinted(_docs(spark, sf_dir), "doc_id").where("keyword_only").select(F.col("doc_key").alias("doc_id"))
+    return fingerprinted(_docs(spark, sf_dir), "doc_id", limit=None, outputs=("keyword_only",)).where("keyword_only").select(F.col("doc_key").alias("doc_id"))
 
 
 def protected_terms(spark, sf_dir):
@@ -168,50 +167,54 @@ def token_hashes(spark, sf_dir):
     return fp.select(F.col("value").alias("token"), hash_hex(fnv("value")).alias("hash"))
 
 
-def _fp(spark, sf_dir, table="documents", key="doc_id"):
+TOKENS = ("token_fps",)
+PAIRS = ("sha256", "raw_byte_length", "token_values", "token_fps", "char_fps", "keyword_only", "critical")
+
+
+def _fp(spark, sf_dir, outputs, table="documents", key="doc_id"):
     """All fingerprints of each text; only an interactive index has a limit for a document."""
-    return fingerprinted(_table(spark, sf_dir, table), key, limit=None)
+    return fingerprinted(_table(spark, sf_dir, table), key, limit=None, outputs=outputs)
 
 
 def token_fingerprints(spark, sf_dir):
-    p = postings(_fp(spark, sf_dir), "token")
+    p = postings(_fp(spark, sf_dir, TOKENS), "token")
     return p.select(F.col("doc_key").alias("doc_id"), _long(F.col("position")).alias("position"), hash_hex("hash").alias("hash"))
 
 
 def character_fingerprints(spark, sf_dir):
-    p = postings(_fp(spark, sf_dir, "benchmark", "item_id"), "character")
+    p = postings(_fp(spark, sf_dir, ("char_fps",), "benchmark", "item_id"), "character")
     return p.select(F.col("doc_key").alias("item_id"), _long(F.col("position")).alias("position"), hash_hex("hash").alias("hash"))
 
 
 def frequent_hashes(spark, sf_dir):
-    return stop_hashes(postings(_fp(spark, sf_dir), "token"), 8).select(hash_hex("hash").alias("hash"), "n")
+    return stop_hashes(postings(_fp(spark, sf_dir, TOKENS), "token"), 8).select(hash_hex("hash").alias("hash"), "n")
 
 
 def index_memory(spark, sf_dir):
-    return index_bytes(fingerprinted(_docs(spark, sf_dir), "doc_id")).withColumnRenamed("doc_key", "doc_id")
+    return index_bytes(fingerprinted(_docs(spark, sf_dir), "doc_id", outputs=("raw_byte_length", "token_values", "token_fps", "char_fps"))).withColumnRenamed("doc_key", "doc_id")
 
 
 def near_duplicate_pairs(spark, sf_dir):
-    pairs = matching.near_duplicate_pairs(_fp(spark, sf_dir))
+    pairs = matching.near_duplicate_pairs(written(_fp(spark, sf_dir, TOKENS)))
     return pairs.select("a", "b", "votes", "top", _long(F.col("peaks")).alias("peaks"), X.fixed(F.col("dominance"), 6).alias("dominance"))
 
 
 def match_classification(spark, sf_dir):
-    fp = _fp(spark, sf_dir)
-    pairs = matching.near_duplicate_pairs(fp).select(F.col("a").alias("q"), F.col("b").alias("c"))
+    fp = written(_fp(spark, sf_dir, PAIRS))
+    pairs = written(matching.near_duplicate_pairs(fp).select(F.col("a").alias("q"), F.col("b").alias("c")))
     m = matching.classified(matching.pair_metrics(pairs, fp))
     return m.select("q", "c", "match_kind", "score", "must_expand", "critical_diff", X.fixed(F.col("token_containment"), 6).alias("token_containment"), X.fixed(F.col("character_jaccard"), 6).alias("character_jaccard"))
 
 
 def critical_difference_pairs(spark, sf_dir):
-    fp = _fp(spark, sf_dir)
-    pairs = matching.near_duplicate_pairs(fp).select(F.col("a").alias("q"), F.col("b").alias("c"))
+    fp = written(_fp(spark, sf_dir, PAIRS))
+    pairs = written(matching.near_duplicate_pairs(fp).select(F.col("a").alias("q"), F.col("b").alias("c")))
     d = matching.critical_differences(matching.pair_metrics(pairs, fp))
     return d.select("q", "c", "different", F.array_join("added", " ").alias("added"), F.array_join("removed", " ").alias("removed"))
 
 
 def benchmark_contamination(spark, sf_dir):
-    c = matching.contamination(_fp(spark, sf_dir), _fp(spark, sf_dir, "benchmark", "item_id"))
+    c = matching.contamination(_fp(spark, sf_dir, TOKENS), _fp(spark, sf_dir, TOKENS, "benchmark", "item_id"))
     return c.select(F.col("c").alias("doc_id"), F.col("q").alias("item_id"), "shared", X.fixed(F.col("containment"), 6).alias("containment"))
 
 
@@ -230,21 +233,29 @@ def relocated_windows(spark, sf_dir):
 
 
 def keyword_search(spark, sf_dir):
-    """How many of each benchmark item's first three words each document has, as substrings; at least two."""
-    asked = _table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.transform(X.engine_tokens("text"), lambda t: F.lower(t)), 1, 3).alias("words"))
-    docs = _docs(spark, sf_dir).select("doc_id", F.lower(F.left(X.text_of("text"), F.lit(300))).alias("low"))
-    # items are a fixed benchmark, not a growing table
-    both = docs.join(F.broadcast(asked), F.exists("words", lambda w: F.contains(F.col("low"), w)))
-    score = _long(F.size(F.filter("words", lambda w: F.contains(F.col("low"), w))))
-    return both.select("item_id", "doc_id", score.alias("score")).where("score >= 2")
+    """For each benchmark item the eight documents that hold most of its words anywhere in their text."""
+    asked = _table(spark, sf_dir, "benchmark").select("item_id", F.transform(X.engine_tokens("text"), lambda t: F.lower(t)).alias("words"))
+    return matching.keyword_hits(asked, _docs(spark, sf_dir), "item_id", "doc_id", 8)
+
+
+def near_duplicate_classes(spark, sf_dir):
+    """The document that stands for all with the same sequence of token fingerprints."""
+    return matching.classes(_fp(spark, sf_dir, TOKENS)).select(F.col("doc_key").alias("doc_id"), "representative")
 
 
 def usage_summary(spark, sf_dir):
+    """What clamping messages to 120 units would save, by role."""
     e = _table(spark, sf_dir, "conversations").select("role", X.estimate_tokens("text").alias("raw_tokens"), X.estimate_tokens(X.clamped("text", 120)).alias("compressed_tokens"))
     e = e.withColumn("compression_skipped", F.col("compressed_tokens") > F.floor(F.col("raw_tokens") * F.lit(1 - W.MIN_SAVINGS)))
     return maintenance.usage_summary(e, "role")
 
 
+def compression_usage(spark, sf_dir):
+    """What compressing the documents saved, by source."""
+    events = maintenance.usage_events(memory.compressed(_table(spark, sf_dir, "documents"), "source", "doc_id"))
+    return maintenance.usage_summary(events, "session_id")
+
+
 def session_stats(spark, sf_dir):
     return maintenance.session_stats(_table(spark, sf_dir, "conversations"), "conv_id")
 
@@ -291,8 +302,7 @@ def label_quality_by_risk(spark, sf_dir):
 def streamed_first_seen(spark, sf_dir):
     """Distinct texts of a stream of the documents, drained to a table."""
     stream = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{sf_dir}/[d]ocuments.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    place = f"{base.rstrip('/')}/textloom-stream-{uuid.uuid4().hex}"
+    place = scratch_path(spark, "stream")
     query = ingest.first_seen(stream.select("text")).select("sha256").writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("sha256 string").parquet(f"{place}/out")
@@ -301,8 +311,8 @@ def streamed_first_seen(spark, sf_dir):
 QUERIES = (
     exact_source_dedup, source_origins, token_estimate, message_token_estimate, engine_token_counts, strict_token_counts, keyword_only_documents, protected_terms, sentence_reasons, sentence_counts, risk_scores,
     critical_extracts, char_shapes, anchor_terms, text_spans, compressed_documents, compressed_within_budget, memory_levels, expanded_spans, conversation_memory, conversation_open_questions, joined_conversations,
-    code_signals, file_modes, token_hashes, token_fingerprints, character_fingerprints, frequent_hashes, index_memory, near_duplicate_pairs, match_classification, critical_difference_pairs,
-    benchmark_contamination, search_benchmark, relocated_windows, keyword_search, usage_summary, session_stats, session_overview, prune_plan, last_usage_events, ledger_summary, search_recall, label_quality_by_risk, streamed_first_seen,
+    code_signals, file_modes, token_hashes, token_fingerprints, character_fingerprints, frequent_hashes, index_memory, near_duplicate_classes, near_duplicate_pairs, match_classification, critical_difference_pairs,
+    benchmark_contamination, search_benchmark, relocated_windows, keyword_search, usage_summary, compression_usage, session_stats, session_overview, prune_plan, last_usage_events, ledger_summary, search_recall, label_quality_by_risk, streamed_first_seen,
 )
 
 

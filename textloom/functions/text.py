@@ -155,7 +155,13 @@ def char_shape(c: Column | str, low: Column, k: int = 3) -> Column:
 def clamped(c: Column | str, n: int) -> Column:
     """Trimmed; if longer than n units, cut to n - 3, trimmed again and marked with dots."""
     t = trimmed(text_of(c))
-    return F.when(units(t) <= n, t).otherwise(F.concat(trimmed(F.left(t, F.lit(n - 3))), F.lit("...")))
+    return F.when(units(t) <= n, t).otherwise(F.concat(trimmed(cut(t, n - 3)), F.lit("...")))
+
+
+def cut(c: Column, n: int) -> Column:
+    """The first n UTF-16 units; a character of two units that doesn't fit whole is left out."""
+    wide = F.regexp_replace(F.left(c, F.lit(n)), r"([\x{10000}-\x{10FFFF}])", "$1\u0001")  # marks the second units
+    return F.when(units(c) == F.length(c), F.left(c, F.lit(n))).otherwise(F.regexp_replace(F.left(wide, F.lit(n)), r"[\x{10000}-\x{10FFFF}]\z|\u0001", ""))
 
 
 def sentences(c: Column | str) -> Column:

@@ -94,8 +94,9 @@ def token_units(table: str, key: str) -> str:
 
 HEX = "lpad(lower(to_hex(hash)), 16, '0')"
 FP = f"{token_units('documents', 'doc_id')}, {grams('t', W.TOKEN_GRAM, W.TOKEN_WINDOW)}"
-SHARED = f"""{FP}, c AS (SELECT hash FROM fp GROUP BY hash HAVING count(*) <= 128), p AS (SELECT * FROM fp JOIN c USING (hash)),
-o AS (SELECT x.k AS a, y.k AS b, y.position - x.position AS off, count(*) AS n FROM p x JOIN p y ON x.hash = y.hash AND x.k < y.k GROUP BY ALL),
+CLASSES = f"""{FP}, sig AS (SELECT k, list((position, hash) ORDER BY position) AS s, count(*) AS n FROM fp GROUP BY k), cls AS (SELECT k, n, min(k) OVER (PARTITION BY s) AS rep FROM sig)"""
+SHARED = f"""{CLASSES}, f AS (SELECT * FROM fp WHERE k IN (SELECT rep FROM cls)), c AS (SELECT hash, count(*) AS n, min(k) AS least FROM f GROUP BY hash), p AS (SELECT f.*, c.n, c.least FROM f JOIN c USING (hash)),
+o AS (SELECT x.k AS a, y.k AS b, y.position - x.position AS off, count(*) AS n FROM p x JOIN p y ON x.hash = y.hash AND x.k < y.k WHERE x.n <= {W.STOP_COUNT} OR x.k = x.least GROUP BY ALL),
 v AS (SELECT a, b, sum(n)::BIGINT AS votes, max(n)::BIGINT AS top FROM o GROUP BY a, b)"""
 
 CONVERSATION = {
@@ -150,10 +151,13 @@ count_if(regexp_matches(t, '{_CLASS}'))::BIGINT AS n_classes, sum(len(list_filte
     "token_fingerprints": f"WITH {FP} SELECT k AS doc_id, position, {HEX} AS hash FROM fp",
     "character_fingerprints": f"WITH t0 AS (SELECT item_id AS k, lower({norm('text')}) AS s FROM benchmark), t AS (SELECT k, unnest(range(length(s))) AS pos, substr(s, unnest(range(length(s)))::INT + 1, 1) AS v FROM t0), {grams('t', W.CHARACTER_GRAM, W.CHARACTER_WINDOW)} SELECT k AS item_id, position, {HEX} AS hash FROM fp",
     "frequent_hashes": f"WITH {FP} SELECT {HEX} AS hash, count(*) AS n FROM fp GROUP BY hash HAVING count(*) > 8",
-    "near_duplicate_pairs": f"WITH {SHARED} SELECT a, b, votes, top, (SELECT count(*) FROM o WHERE o.a = v.a AND o.b = v.b AND o.n >= greatest(2, ceil(v.votes / 5.0)))::BIGINT AS peaks, floor(top / votes * 1e6 + 0.5) / 1e6 AS dominance FROM v WHERE votes >= 3",
+    "near_duplicate_pairs": f"WITH {SHARED} SELECT a, b, votes, top, (SELECT count(*) FROM o WHERE o.a = v.a AND o.b = v.b AND o.n >= greatest(2, ceil(v.votes / 5.0)))::BIGINT AS peaks, floor(top / votes * 1e6 + 0.5) / 1e6 AS dominance FROM v WHERE votes >= 3 UNION ALL SELECT rep, k, n, n, 1, 1.0::DOUBLE FROM cls WHERE k <> rep AND n >= 3",
+    "near_duplicate_classes": f"WITH {CLASSES} SELECT k AS doc_id, rep AS representative FROM cls",
     "benchmark_contamination": f"""WITH docs AS ({f"WITH {FP} SELECT DISTINCT k, hash FROM fp"}), items AS (WITH {token_units('benchmark', 'item_id')}, {grams('t', W.TOKEN_GRAM, W.TOKEN_WINDOW)} SELECT DISTINCT k, hash FROM fp), n AS (SELECT k, count(*) AS n FROM items GROUP BY k)
 SELECT docs.k AS doc_id, items.k AS item_id, count(*) AS shared, floor(count(*) / any_value(n.n) * 1e6 + 0.5) / 1e6 AS containment FROM docs JOIN items USING (hash) JOIN n ON n.k = items.k GROUP BY docs.k, items.k HAVING count(*) / any_value(n.n) >= 0.6""",
-    "keyword_search": f"WITH a AS (SELECT item_id, list_transform({tokens('text')}[1:3], lambda t: lower(t)) AS words FROM benchmark), d AS (SELECT doc_id, lower(left(coalesce(text, ''), 300)) AS low FROM documents), b AS (SELECT item_id, doc_id, len(list_filter(words, lambda w: contains(low, w)))::BIGINT AS score FROM a, d) SELECT * FROM b WHERE score >= 2",
+    "keyword_search": f"""WITH a AS (SELECT item_id, unnest({tokens('text')}) AS w FROM benchmark), t AS (SELECT item_id, lower(w) AS w, count(*) AS times FROM a GROUP BY ALL), words AS (SELECT DISTINCT w FROM t),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents), h AS (SELECT doc_id, w FROM d, words WHERE contains(low, w)), s AS (SELECT item_id, doc_id, sum(times)::BIGINT AS score FROM h JOIN t USING (w) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 8""",
     "usage_summary": f"WITH e AS (SELECT role, {estimate('text')} AS r, {estimate('c')} AS c FROM (SELECT role, text, {clamp('text', 120)} AS c FROM conversations)) SELECT role, count(*) AS operations, sum(r)::BIGINT AS raw_tokens, sum(c)::BIGINT AS compressed_tokens, sum(r - c)::BIGINT AS token_delta, CASE WHEN sum(r) = 0 THEN 0.0::DOUBLE ELSE floor((1 - sum(c)::DOUBLE / sum(r)::DOUBLE) * 10000 + 0.5) / 10000 END AS savings_ratio, count_if(c <= floor(r * 0.85::DOUBLE))::BIGINT AS compressed_operations, count_if(c > floor(r * 0.85::DOUBLE))::BIGINT AS skipped_operations FROM e GROUP BY role",
     "session_stats": "SELECT conv_id AS session_id, count(*) AS active_documents, count(*) AS active_handles, (SELECT sum(b)::BIGINT FROM (SELECT DISTINCT text, strlen(text) AS b FROM conversations i WHERE i.conv_id = o.conv_id)) AS approx_memory_bytes, sum(strlen(text))::BIGINT AS referenced_source_bytes FROM conversations o GROUP BY conv_id",
     "session_overview": f"WITH {_SESSIONS} SELECT session_id, n_events, greatest(0, floor((epoch({_NOW}) - floor(epoch(last_accessed_at))) / 86400.0))::BIGINT AS days_idle, (epoch({_NOW}) - floor(epoch(last_accessed_at))) / 86400.0 >= 14 AS is_stale, row_number() OVER (ORDER BY last_accessed_at DESC, session_id) AS place FROM s",

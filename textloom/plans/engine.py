@@ -17,6 +17,7 @@ from textloom.functions import text as X
 from textloom.functions import words as W
 from textloom.operators import maintenance, matching, memory
 from textloom.sources.files import joined_conversations
+from textloom.sources.scratch import written
 from textloom.sources.store import TableStore
 
 _SESSION = re.compile(r"[A-Za-z0-9._-]{1,80}\Z")
@@ -58,13 +59,14 @@ class MemoryEngine:
 
     def compress(self, texts: DataFrame, budget: int | None = None) -> DataFrame:
         """Adds texts (session_id, document_id, text; label and mode if there) and returns what memory.compressed() makes of them."""
-        has = set(texts.columns)
-        rows = texts.select(F.col("session_id"), F.col("document_id").cast("string"), (F.col("label") if "label" in has else F.lit("text")).alias("label"), (F.col("mode") if "mode" in has else F.lit("text")).alias("mode"), X.text_of("text").alias("source"), F.lit(datetime.now(timezone.utc)).alias("created_at"))
+        has, now = set(texts.columns), datetime.now(timezone.utc)
+        rows = texts.select(F.col("session_id"), F.col("document_id").cast("string"), (F.col("label") if "label" in has else F.lit("text")).alias("label"), (F.col("mode") if "mode" in has else F.lit("text")).alias("mode"), X.text_of("text").alias("source"), F.lit(now).alias("created_at"))
         known = self.documents.select(F.sha2("source", 256).alias("checksum")).distinct().withColumn("deduplicated", F.lit(True))
         self.documents = self.documents.unionByName(rows)
         out = memory.compressed(rows.withColumnRenamed("source", "text"), "session_id", "document_id", "text", "mode", "label", budget)
-        used = maintenance.usage_events(out).withColumn("created_at", F.current_timestamp())
-        self.events = used if self.events is None else self.events.unionByName(used)
+        # events are written at once: their time is that of the call, however often they are read
+        used = written(maintenance.usage_events(out).withColumn("created_at", F.lit(now)))
+        self.events = used if self.events is None else maintenance.last_events(self.events.unionByName(used), "session_id", "created_at")
         return out.join(known, "checksum", "left").withColumn("deduplicated", F.coalesce("deduplicated", F.lit(False)))
 
     def compress_text(self, text: str, session: str | None = None, label: str = "text", mode: str = "text", budget: int | None = None) -> dict:
@@ -80,8 +82,10 @@ class MemoryEngine:
         joined = joined_conversations(messages, key)
         return self.compress(joined.select(F.lit(session_id(session)).alias("session_id"), F.col("conversation").cast("string").alias("document_id"), F.lit("conversation").alias("label"), "text"))
 
-    def _compressed(self, name: str) -> DataFrame:
+    def _compressed(self, name: str, document: str | None = None) -> DataFrame:
         rows = self.documents.where(F.col("session_id") == name)
+        if document is not None:
+            rows = rows.where(F.col("document_id") == document)
         return memory.compressed(rows, "session_id", "document_id", "source", "mode", "label")
 
     def expand(self, uri: str) -> dict:
@@ -92,7 +96,7 @@ class MemoryEngine:
             if row is None:
                 raise KeyError(uri)
             return {"uri": uri, "text": row.source}
-        spans = memory.span_table(self._compressed(name)).where(F.col("uri") == uri)
+        spans = memory.span_table(self._compressed(name, key.rpartition(".")[0])).where(F.col("uri") == uri)
         row = memory.expanded(spans, self.documents.withColumnRenamed("source", "text")).first()
         if row is None:
             raise KeyError(uri)
@@ -123,7 +127,7 @@ class MemoryEngine:
         """Levels 0 up to `level` (of the uri, else 4) of a document, as JSON."""
         name, kind, key, own = parsed_uri(uri)
         top = own if own is not None else 4 if level is None else level
-        rows = memory.levels(self._compressed(name).where(F.col("document_id") == key)).where(F.col("level") <= top).collect()
+        rows = memory.levels(self._compressed(name, key)).where(F.col("level") <= top).collect()
         if kind != "doc" or not rows:
             raise KeyError(uri)
         return {r.level: r.payload for r in rows}
@@ -148,7 +152,7 @@ class MemoryEngine:
 
     def explain(self, uri: str) -> dict:
         name, _, key, _ = parsed_uri(uri)
-        row = self._compressed(name).where(F.col("document_id") == key).select("risk").first()
+        row = self._compressed(name, key).select("risk").first()
         if row is None:
             raise KeyError(uri)
         return {"uri": uri, "levels": dict(enumerate(LEVELS)), "risk": row.risk.asDict(True)}
