@@ -294,6 +294,27 @@ def test_line_rules_count_documents_that_share_a_block(spark):
     assert all(rows[k].kept and rows[k].removed_words == 60 for k, *_ in near)
 
 
+def test_line_rules_query_matches_sql(spark, tmp_path):
+    """On the small table, and on one with boilerplate, depleted documents, copies, odd white space and empty texts."""
+    import duckdb
+
+    rng = random.Random(21)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    footer, copied = [line(60), line(3), "\tOdd  \x0b Space\r"], f"{line(60)}\n{line(9)}"
+    rows = [(k, "\n".join([line(rng.randint(1, 80)), *rng.sample(footer, 2), line(rng.randint(0, 5))]), rng.choice(["a", "b", None])) for k in range(150)]
+    rows += [(200 + k, copied, "a") for k in range(40)] + [(300, None, "a"), (301, "", None), (302, "é # \u2028 x\n\n é # \u2028 x", "b"), (303, "a b c " * 40, "b")]
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/t/documents.parquet")
+    for folder, files in ((SF, f"{SF}/documents.parquet"), (f"{tmp_path}/t", f"{tmp_path}/t/documents.parquet/*.parquet")):
+        db = duckdb.connect()
+        db.execute(f"create view documents as select * from '{files}'")
+        found = queries.op8_line_rules(spark, folder)
+        columns = sorted(found.columns)
+        expected = db.sql(f"select {', '.join(columns)} from ({queries.ORACLES['op8_line_rules']})").fetchall()
+        assert sorted(map(tuple, found.select(*columns).collect())) == sorted(expected)
+    assert found.where("removed_words > 0 and not kept and not base_failed").count() > 0
+
+
 def test_line_rules_count_every_document_of_a_footer(spark):
     rng = random.Random(8)
     line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
