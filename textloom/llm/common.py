@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
 
 
+#: With this setting a query's exchanges are deleted when it ends; otherwise they stay until the driver collects garbage.
+DELETE_EXCHANGES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _exchanges_deleted(spark: SparkSession) -> Iterator[None]:
+    """Queries in this scope delete their exchanges at their end: what reads their tables needs none of them."""
+    before = spark.conf.get(DELETE_EXCHANGES, None)
+    spark.conf.set(DELETE_EXCHANGES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DELETE_EXCHANGES) if before is None else spark.conf.set(DELETE_EXCHANGES, before)
+
+
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df, written once as a Parquet table in the shared folder and read back: cuts lineage and outlives executors."""
     spark = df.sparkSession
@@ -38,7 +54,8 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with _exchanges_deleted(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if _SCOPES:
         _SCOPES[-1][id(out)] = path, out
@@ -60,13 +77,15 @@ class Scratch:
 
     What a kept table's rows come from may go, as a stored table is written whole; a plan that is still lazy at the end
     of the scope must read kept tables only. Kept tables belong to the scope around this one, if there is one.
+    Queries that run in the scope delete their exchanges when they end.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.kept = spark, set()
+        self.spark, self.kept, self.exchanges = spark, set(), _exchanges_deleted(spark)
 
     def __enter__(self) -> Scratch:
         _SCOPES.append({})
+        self.exchanges.__enter__()
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -74,7 +93,13 @@ class Scratch:
         self.kept.add(id(df))
         return df
 
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of this scope, which must be the innermost, before its end."""
+        path, _ = _SCOPES[-1].pop(id(df))
+        _delete(self.spark, path)
+
     def __exit__(self, *failure) -> None:
+        self.exchanges.__exit__(None, None, None)
         for key, (path, df) in _SCOPES.pop().items():
             if key in self.kept and failure[0] is None:
                 if _SCOPES:

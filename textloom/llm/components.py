@@ -29,15 +29,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable) of every node in a link; links to itself and nulls are ignored.
 
-    Tables between the steps are written to the shared folder; the steps are repeated until nothing changes, which
-    takes about the logarithm of the longest path. A node of very many links is aggregated before it is exchanged,
-    and its join is one that adaptive execution splits.
+    Tables between the steps are written to the shared folder and deleted after the next step; the steps are repeated
+    until nothing changes, which takes about the logarithm of the longest path. A node of very many links is aggregated
+    before it is exchanged, and its join is one that adaptive execution splits.
     """
     with Scratch(links.sparkSession) as scratch:
         edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct())
         state = _state(edges)
         while state[0]:
-            edges = stored(_small_star(stored(_large_star(edges))))
+            large = stored(_large_star(edges))
+            scratch.drop(edges)
+            edges = stored(_small_star(large))
+            scratch.drop(large)
             after = _state(edges)
             if after == state:
                 break
