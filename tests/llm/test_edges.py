@@ -3,7 +3,9 @@
 import hashlib
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,25 @@ def test_nearest(spark):
     assert hamming.search(table.where("false")).count() == 0
 
 
+def test_many_codes_step_through_the_tables_at_once():
+    """All rows within each code's smallest radius that holds enough of them, ties included; the best of several blocks."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 256, (300, 32), dtype=np.uint8)
+    codes[200:] = codes[:100] ^ (rng.random((100, 32)) < 0.2).astype(np.uint8)
+    for rows, asked, enough in ((codes, codes[::3], 24), (codes[:5], codes[:2], 64), (codes[:, :5], codes[:7, :5], 10)):
+        query, row = hamming.Index(rows).search(asked, enough)
+        distance = np.bitwise_count(asked[:, None] ^ rows).sum(2, dtype=np.int64)
+        least = np.sort(distance, axis=1)[:, min(enough, len(rows)) - 1]
+        assert list(zip(query.tolist(), row.tolist(), strict=True)) == list(zip(*(x.tolist() for x in np.nonzero(distance <= least[:, None])), strict=True))
+    x = rng.normal(size=(400, 8))
+    table = pa.table({"block": np.arange(400) % 3, "row": np.arange(400), "vec_id": np.arange(400), "vector": list(x)})
+    found = hamming.nearest(table, table.slice(0, 50), hamming.Rotation(x), 10, least=400).to_pandas()
+    for at in range(50):
+        d = np.sqrt(((x - x[at]) ** 2).sum(1))
+        d[at] = np.inf
+        assert found[found.query_id == at].vec_id.tolist() == np.argsort(d, kind="stable")[:10].tolist()
+
+
 def test_pipeline_on_edges(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
