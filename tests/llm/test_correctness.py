@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import bpe, packing, passages, queries, sharding
+from textloom.llm import bpe, minhash, packing, passages, queries, sharding
 from textloom.llm.common import all_shingles, distinct_counts, shingle_hashes, word_hashes
 from textloom.llm.line_rules import LineRules, document_stats, without_lines
 from textloom.llm.minhash import NearDuplicates
@@ -138,6 +138,17 @@ def test_large_group_of_near_copies(spark):
     assert all(r.kept for r in found if r.doc_id >= 1000)
 
 
+def test_chained_buckets_are_not_one_cluster(spark):
+    """Buckets that share a member each tie all items together; an item still goes to a few blocks only."""
+    n, wide = 3000, 40
+    rows = [(b, b * (wide - 1) + k) for b in range(n // (wide - 1)) for k in range(wide)]
+    table = spark.createDataFrame([(b, i, i, b * (wide - 1), 400) for b, i in rows], "bucket long, item long, component long, y long, n long")
+    facts = table.select("item", F.lit(400).cast("long").alias("n")).distinct()
+    dealt = minhash._dealt(table, facts, minhash.Plan(bands=2)).collect()
+    assert {r.item for r in dealt} == {i for _, i in rows}
+    assert sum(r.other_blocks + r.main_blocks for r in dealt) <= 3 * len(rows)
+
+
 def word_places(text):
     """(lower-cased words, number of line ends before each)."""
     words, line_of = [], []

@@ -3,8 +3,8 @@
 Under each hash function both the smallest and the largest value of a set are kept, so 2k signature values cost k
 evaluations for each shingle. Values are hashed in bands; sets that agree in a band are candidates. In each bucket the
 candidates are first compared with one member, the first by a hash. What that leaves in different components is
-compared in blocks of bounded size inside a task, which hands on only links that join components, never pairs. Links
-are confirmed on the full sets.
+compared in pairs where a bucket has few members, and in blocks of bounded size inside a task where it has many; a task
+hands on only links that join components, never pairs. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ BLOCK_SHINGLES = 500_000
 SKETCH_VALUES = 128
 #: Items that are compared with all others of a group at once.
 ROWS = 128
+#: Members of a bucket up to which it is compared in pairs.
+FEW = 32
 #: Bytes of text that are hashed together.
 PORTION = 1 << 18
 
@@ -99,39 +101,74 @@ def similar(items: DataFrame, sets: Callable[[DataFrame], DataFrame], plan: Plan
     """
     with Scratch(items.sparkSession) as scratch:
         entries = items.select("item", F.explode("bands").alias("bucket"))
-        first = F.min(F.struct(F.xxhash64("item"), "item"))["item"]
-        shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), first.alias("y")).where("members > 1")
-        shared = stored(entries.join(shared, "bucket").select("bucket", F.col("item").alias("x"), "y"))
+        # most buckets have one member: only their hashes are exchanged to tell
+        again = stored(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+        met = stored(entries.join(again, "bucket").select("bucket", F.col("item").alias("x"), "members"))
+        scratch.drop(again)
+        first = F.min(F.struct(F.xxhash64("x"), "x"))["x"]
+        shared = stored(met.join(met.groupBy("bucket").agg(first.alias("y")), "bucket").select("bucket", "x", "y", "members"))
+        scratch.drop(met)
         facts = stored(items.join(shared.select(F.col("x").alias("item")).distinct(), "item", "left_semi"))
         pairs = shared.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         known = _Sets(sets)
         links = stored(known.confirmed(stored(_likely(pairs, facts, plan)), plan))
         component = stored(connected_components(links)).withColumnRenamed("node", "item")
-        placed = shared.select("bucket", F.col("x").alias("item")).join(component, "item", "left").withColumn("component", F.coalesce("component", "item"))
+        # in a bucket of two, both were compared
+        placed = shared.where("members > 2").select("bucket", F.col("x").alias("item"), F.col("y").alias("first"), "members").join(component, "item", "left").withColumn("component", F.coalesce("component", "item"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("item").alias("y")).where("low <> high").select("bucket", "y")
-        open_ = stored(placed.join(mixed, "bucket").select("item", "component", "y"))
-        return scratch.keep(stored(links.unionByName(_crossing(open_, facts, known, plan))))
+        open_ = stored(placed.join(mixed, "bucket").select("bucket", "item", "component", "y", "first", "members"))
+        few = stored(_likely(_across(open_.where(F.col("members") <= FEW)), facts, plan))
+        many = stored(open_.where(F.col("members") > FEW).drop("first", "members"))
+        return scratch.keep(stored(links.unionByName(known.confirmed(few, plan)).unionByName(_crossing(many, facts, known, plan))))
+
+
+def _across(open_: DataFrame) -> DataFrame:
+    """Pairs a, b of one bucket and different components, without those that had its first member."""
+    rest = open_.where("item <> first")
+    x = rest.select("bucket", F.col("item").alias("a"), F.col("component").alias("ca"))
+    y = rest.select("bucket", F.col("item").alias("b"), F.col("component").alias("cb"))
+    return x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
 
 
 def blocks_of(members: Column, size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(members / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
 
 
-def _crossing(open_: DataFrame, facts: DataFrame, known: _Sets, plan: Plan) -> DataFrame:
-    """Links between components: items that share buckets, directly or not, form a cluster. The members of its largest
-    component need no comparison with each other, so only the others are compared, with all: they and the largest
-    component are dealt over blocks of bounded size, and each pair of blocks is one group, compared in memory."""
-    ties = connected_components(open_.select(F.col("item").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("node").alias("item"), F.col("component").alias("cluster"))
-    items = stored(open_.select("item", "component").distinct().join(ties, "item").join(facts.select("item", "n"), "item"))
+def _clusters(items: DataFrame) -> DataFrame:
+    """Of each cluster: its largest component, members, and into how many blocks that and the others go."""
     parts = items.groupBy("cluster", "component").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
     clusters = parts.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("members").alias("all_members"), F.sum("size").alias("all_size"), F.max(F.struct("size", "component", "members")).alias("top"))
     main_blocks = blocks_of(F.col("top.members"), F.col("top.size"))
     other_blocks = blocks_of(F.col("all_members") - F.col("top.members"), F.col("all_size") - F.col("top.size"))
-    clusters = stored(clusters.select("cluster", "largest", "all_members", main_blocks.alias("main_blocks"), other_blocks.alias("other_blocks")))
+    return clusters.select("cluster", "largest", "all_members", main_blocks.alias("main_blocks"), other_blocks.alias("other_blocks"))
+
+
+def _dealt(open_: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
+    """Items with their clusters and blocks. Items that share buckets, directly or not, are a cluster; but buckets that
+    chance ties to one another would make one of all items, each sent to every block. So where a cluster sends items to
+    more blocks than an item has bands, each of its buckets is a cluster of its own."""
+    ties = connected_components(open_.select(F.col("item").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("node").alias("item"), F.col("component").alias("cluster"))
+    items = stored(open_.select("bucket", "item", "component").join(ties, "item").join(facts.select("item", "n"), "item"))
+    whole = items.drop("bucket").distinct()
+    clusters = stored(_clusters(whole))
+    wide = stored(clusters.where(F.col("other_blocks") > plan.bands).select("cluster"))
+    if wide.limit(1).count():
+        apart = items.join(wide, "cluster").select("item", F.col("bucket").alias("cluster"), "component", "n")
+        items = stored(whole.join(wide, "cluster", "left_anti").select(*apart.columns).unionByName(apart))
+        clusters = stored(_clusters(items))
+    else:
+        items = stored(whole)
     items = hot_join(items, clusters, ["cluster"], "all_members").withColumn("main", F.col("component") == F.col("largest"))
     items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
-    items = stored(items.select("cluster", "item", "component", "main", "block", "main_blocks", "other_blocks"))
-    full = known.full(items.select("item"))
+    return stored(items.select("cluster", "item", "component", "main", "block", "main_blocks", "other_blocks"))
+
+
+def _crossing(open_: DataFrame, facts: DataFrame, known: _Sets, plan: Plan) -> DataFrame:
+    """Links between components. The members of a cluster's largest component need no comparison with each other, so
+    only the others are compared, with all: they and the largest component are dealt over blocks of bounded size, and
+    each pair of blocks is one group, compared in memory."""
+    items = _dealt(open_, facts, plan)
+    full = known.full(items.select("item").distinct())
     rows = items.join(facts, "item").join(full, "item")
     with_main = F.transform(F.sequence(F.lit(0), F.when(F.col("main"), F.col("other_blocks")).otherwise(F.col("main_blocks")) - 1), lambda k: F.struct(F.when(F.col("main"), k).otherwise(F.col("block")).alias("p"), (-1 - F.when(F.col("main"), F.col("block")).otherwise(k)).alias("q")))
     with_others = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("p"), F.greatest(F.col("block"), k).alias("q")))

@@ -178,27 +178,41 @@ class RepeatedPassages:
         """doc_id, text_key, first_word, n_words, source_id of paragraphs whose component has an earlier document."""
         lines = units.where("n_words > 0")
         document = F.struct("doc_id", "text_key")
-        found = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "first_word", "n_words", "n", "bands", "sketch")).alias("at"), F.min(document).alias("source"), F.max(document).alias("last"), F.count("*").alias("rows"))
-        found = stored(found.withColumn("item", F.monotonically_increasing_id()).select("item", "k1", "k2", "at.*", "source", "last", "rows"))
-        links = similar(found.select("item", "n", "bands", "sketch"), lambda ids: self._sets(found, ids), PLAN)
-        component = connected_components(links).withColumnRenamed("node", "item")
-        grouped = found.select("item", "k1", "k2", "source", "last", "rows").join(component, "item", "left").withColumn("component", F.coalesce("component", "item"))
-        sources = grouped.groupBy("component").agg(F.min("source").alias("first"), F.max("last").alias("end")).where("first < end")
-        keys = stored(grouped.join(sources, "component").select("k1", "k2", "rows", "first"))
-        every = hot_join(lines.select("k1", "k2", "doc_id", "text_key", "first_word", "n_words"), keys, ["k1", "k2"], "rows")
-        return every.where(document > F.col("first")).select("doc_id", "text_key", "first_word", "n_words", F.col("first.doc_id").alias("source_id"))
-
-    def _shared_runs(self, units: DataFrame) -> DataFrame:
-        """doc_id, text_key, first_word, n_words, source_id: all words around shared anchors that are equal."""
+        with Scratch(self.docs.sparkSession) as scratch:
+            found = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "first_word", "n_words", "n", "bands", "sketch")).alias("at"), F.min(document).alias("source"), F.max(document).alias("last"), F.count("*").alias("rows"))
+            found = stored(found.withColumn("item", F.monotonically_increasing_id()).select("item", "k1", "k2", "at.*", "source", "last", "rows"))
+            links = similar(found.select("item", "n", "bands", "sketch"), lambda ids: self._sets(found, ids), PLAN)
+            component = connected_components(links).withColumnRenamed("node", "item")
+            grouped = found.select("item", "k1", "k2", "source", "last", "rows").join(component, "item", "left").withColumn("component", F.coalesce("component", "item"))
+            sources = grouped.groupBy("component").agg(F.min("source").alias("first"), F.max("last").alias("end")).where("first < end")
+            keys = stored(grouped.join(sources, "component").select("k1", "k2", "rows", "first"))
+            scratch.drop(found)
+            every = hot_join(lines.select("k1", "k2", "doc_id", "text_key", "first_word", "n_words"), keys, ["k1", "k2"], "rows")
+            return scratch.keep(stored(every.where(document > F.col("first")).select("doc_id", "text_key", "first_word", "n_words", F.col("first.doc_id").alias("source_id"))))
+
+    def _common_anchors(self, units: DataFrame) -> DataFrame:
+        """doc_id, text_key, first_word, gram of the anchors that occur more than once; most occur once, and only their
+        hashes are exchanged to tell."""
         found = units.where("n_words = 0").select("doc_id", "text_key", "first_word", F.col("k1").alias("gram"))
+        with Scratch(self.docs.sparkSession) as scratch:
+            again = stored(found.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1"))
+            return scratch.keep(stored(hot_join(found, again, ["gram"], "rows")))
+
+    def _shared_runs(self, found: DataFrame) -> DataFrame:
+        """doc_id, text_key, first_word, n_words, source_id: all words around shared anchors that are equal."""
+        with Scratch(self.docs.sparkSession) as scratch:
+            return scratch.keep(stored(self._runs(found, scratch)))
+
+    def _runs(self, found: DataFrame, scratch: Scratch) -> DataFrame:
         document = F.struct("doc_id", "text_key")
         grams = found.groupBy("gram").agg(F.min(F.struct("doc_id", "text_key", "first_word")).alias("s"), F.max(document).alias("last"), F.count("*").alias("rows"))
         grams = grams.where(F.struct("s.doc_id", "s.text_key") < F.col("last")).select("gram", F.col("s.doc_id").alias("source_id"), F.col("s.text_key").alias("source_key"), F.col("s.first_word").alias("source_word"), "rows")
-        met = hot_join(found, stored(grams), ["gram"], "rows").where((F.col("doc_id") != F.col("source_id")) | (F.col("text_key") != F.col("source_key")))
+        met = hot_join(found, grams := stored(grams), ["gram"], "rows").where((F.col("doc_id") != F.col("source_id")) | (F.col("text_key") != F.col("source_key")))
         # anchors in one chunk of the source, and as far apart there as here, are laid beside it together
         place = ["source_id", "source_key", "chunk"]
         asked = met.groupBy("doc_id", "text_key", *place[:2], F.expr(f"source_word div {CHUNK}").cast("int").alias("chunk"), (F.col("source_word") - F.col("first_word")).alias("ahead")).agg(F.min("first_word").alias("low"), F.max("first_word").alias("high"))
         asked = stored(asked)
+        scratch.drop(grams)
         chunks = stored(asked.groupBy(*place).agg(F.count("*").alias("rows")))
         wanted = asked.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*place, "ahead", F.greatest(F.lit(0), F.col("low") - AROUND).alias("begin"), (F.col("high") + GRAM + AROUND).alias("end"))).alias("asked"))
         given = chunks.groupBy(F.col("source_id").alias("doc_id"), F.col("source_key").alias("text_key")).agg(F.collect_list("chunk").alias("given"))
@@ -228,6 +242,7 @@ class RepeatedPassages:
                     yield pa.RecordBatch.from_arrays([pa.array(v, types.get(n, pa.int64())) for n, v in out.items()], names=list(out))
 
         read = stored(self.docs.join(both, ["doc_id", "text_key"]).mapInArrow(words, "doc_id long, text_key long, source_id long, source_key long, chunk int, ahead int, begin int, words binary"))
+        scratch.drop(asked)
         sources = read.where("doc_id is null").groupBy(*place).agg(F.first("begin").alias("source_begin"), F.first("words").alias("source_words")).join(chunks, place)
         beside = hot_join(read.where("doc_id is not null"), stored(sources), place, "rows")
 
@@ -254,7 +269,12 @@ class RepeatedPassages:
         """
         with Scratch(self.docs.sparkSession) as scratch:
             units = self._units()
-            repeated = self._similar_paragraphs(units).unionByName(self._shared_runs(units)).distinct()
+            repeated = self._similar_paragraphs(units)
+            common = self._common_anchors(units)
+            scratch.drop(units)
+            runs = self._shared_runs(common)
+            scratch.drop(common)
+            repeated = repeated.unionByName(runs).distinct()
             by_doc = repeated.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_word", "n_words", "source_id")).alias("spans"))  # at most a text's paragraphs and anchors
             return scratch.keep(stored(by_doc.select("doc_id", "text_key", F.explode(_merged(F.col("spans"))).alias("s")).select("doc_id", "text_key", "s.*")))
 
