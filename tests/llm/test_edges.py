@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, hamming, packing, sharding, token_file
+from textloom.llm import bpe, hamming, packing, queries, sharding, token_file
 from textloom.llm.cross_entropy import Losses
 from textloom.llm.line_rules import LineRules
 from textloom.llm.minhash import NearDuplicates
@@ -148,3 +148,18 @@ def test_pipeline_on_edges(spark, docs, empty, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "d")).select("doc_id").distinct().count() >= 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path / "d")).count() == 0
+
+
+def test_bpe_decodes_where_it_encodes(docs):
+    both = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="decoded")
+    apart = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert sorted(map(str, both.select("doc_id", "ids", "decoded").collect())) == sorted(map(str, apart.select("doc_id", "ids", "decoded").collect()))
+
+
+def python_nodes(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(plan.count(node) for node in ("MapInArrow", "ArrowEvalPython", "MapInPandas", "BatchEvalPython"))
+
+
+def test_bpe_query_has_one_python_worker_a_task(spark):
+    assert python_nodes(queries.op2_byte_bpe(spark, "/root/testdata/sf0.001")) == 1

@@ -574,39 +574,51 @@ def id_lists(ids: np.ndarray, places: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """df with a column `ids` (array<int>): the byte-level BPE ids of the column `text`.
 
     A null text counts as empty and has an empty array. An existing column `ids` is replaced; other columns and
     repeated rows stay as they are. Texts of any length are encoded whole, about a megabyte of rows at a time.
+
+    decoded: the name of a further column with what the decoder makes of the ids. That saves decode() and, for each
+    task, a second Python worker; workers change places between tasks, so each of them would hold an encoder in the end.
     """
     data = _rank_bytes(df, ranks_path)
-    kept = [c for c in df.columns if c.lower() != ids.lower() or c == text]
+    made = {c.lower() for c in (ids, decoded) if c}
+    kept = [c for c in df.columns if c.lower() not in made or c == text]
     source = df.select(*kept)
-    names = [c for c in kept if c.lower() != ids.lower()]
-    schema = T.StructType([*(source.schema[c] for c in names), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    names = [c for c in kept if c.lower() not in made]
+    schema = T.StructType([*(source.schema[c] for c in names), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _once(Encoder, data.value, pattern)
         for batch in batches:
             for begin, count in slices(batch.column(text)):
                 part = batch.slice(begin, count)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), id_lists(*encoder.encode_texts(part.column(text)))], names=[*names, ids])
+                lists = id_lists(*encoder.encode_texts(part.column(text)))
+                columns = [*(part.column(c) for c in names), lists]
+                if decoded:
+                    columns.append(_decoded(lists, _once(Decoder, data.value)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def _decoded(column: pa.Array, decoder: Decoder) -> pa.Array:
+    """The texts of lists of ids; null for null."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = [0 if n is None else n for n in pc.list_value_length(column).to_pylist()]
+    ends = np.cumsum(sizes)
+    return pa.array([None if not ok else decoder.decode(flat[e - n : e].tolist()) for ok, n, e in zip(column.is_valid().to_pylist(), sizes, ends, strict=True)], pa.string())
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with a column `text`: the text of the ids in `ids`; null for null. An existing column `text` is replaced."""
     data = _rank_bytes(df, ranks_path)
 
     @F.arrow_udf(T.StringType())
     def run(column: pa.Array) -> pa.Array:
-        decoder = _once(Decoder, data.value)
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        sizes = [0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()]
-        ends = np.cumsum(sizes)
-        return pa.array([None if not ok else decoder.decode(flat[e - n : e].tolist()) for ok, n, e in zip(column.is_valid().to_pylist(), sizes, ends, strict=True)], pa.string())
+        return _decoded(column, _once(Decoder, data.value))
 
     return df.withColumn(text, run(F.col(ids)))
 
