@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every corpus operator."""
 
 import hashlib
+import weakref
 import zlib
 
 import numpy as np
@@ -163,3 +164,18 @@ def python_nodes(df):
 
 def test_bpe_query_has_one_python_worker_a_task(spark):
     assert python_nodes(queries.op2_byte_bpe(spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_token_file_query_reads_with_one_python_worker_a_task(spark):
+    assert python_nodes(queries.op5_token_file(spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_token_file_forgets_its_encoder(docs, tmp_path):
+    definition = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    made = weakref.ref(token_file.library_encoder(definition).__self__)
+    token_file._forget_encoders()
+    assert made() is None
+    token_file.write(docs, definition, str(tmp_path))
+    spark = docs.sparkSession
+    plain = token_file.ids_crc32(token_file.read(spark, str(tmp_path))).drop("ids")
+    assert sorted(map(str, token_file.read(spark, str(tmp_path), crc32="ids_crc32").collect())) == sorted(map(str, plain.collect()))

@@ -51,7 +51,7 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
         definition = f.read()
     folder = scratch_dir(spark)
     token_file.write(documents(spark, sf_dir), definition, folder)
-    return token_file.ids_crc32(token_file.read(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_file.read(spark, folder, crc32="ids_crc32").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import BATCH_BYTES, slices
+from textloom.llm.common import BATCH_BYTES, forget, slices
 
 NULL_ID = np.iinfo(np.int64).min
 
@@ -124,6 +125,10 @@ def library_encoder(definition: str) -> Callable[[pa.Array], tuple[np.ndarray, n
     return _MADE[key].encode
 
 
+def _forget_encoders() -> None:
+    forget(_MADE)
+
+
 def write(docs: DataFrame, definition: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> dict:
     """Encodes all documents, writes them in ascending doc_id order under `folder` and returns the manifest.
 
@@ -197,8 +202,12 @@ def open_shard(folder: str, name: str, dtype: str) -> tuple[np.ndarray, np.ndarr
     return tuple(out)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids (array<int>)."""
+def read(spark: SparkSession, folder: str, crc32: str | None = None) -> DataFrame:
+    """A row for each document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids (array<int>).
+
+    crc32: the name of a column that stands for ids, with what ids_crc32() gives for them, so that no ids leave the
+    worker and none is needed for ids_crc32().
+    """
     fs, base = filesystem(folder)
     with fs.open_input_file(f"{base}/manifest.json") as f:
         manifest = json.loads(f.read())
@@ -207,9 +216,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     table = spark.createDataFrame(shards, "name string, base long")
     if shards:
         table = table.repartition(min(len(shards), 10_000))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), (crc32, pa.int64()) if crc32 else ("ids", pa.list_(pa.int32()))])
+    last = T.StructField(crc32, T.LongType(), False) if crc32 else T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_encoders()  # the files are whole
         for batch in batches:
             for shard in batch.to_pylist():
                 ids, offsets, docs = open_shard(folder, shard["name"], dtype)
@@ -221,10 +232,17 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     flat = pa.array(ids[cut[0] : cut[-1]].astype(np.int32))
                     lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), flat)
                     known = docs[k:stop] != NULL_ID
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[k:stop], mask=~known), pa.array(shard["base"] + cut[:-1]), pa.array(np.diff(cut)), lists], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[k:stop], mask=~known), pa.array(shard["base"] + cut[:-1]), pa.array(np.diff(cut)), _crc32(lists) if crc32 else lists], schema=schema)
                     k = stop
 
-    return table.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]))
+    return table.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False), last]))
+
+
+def _crc32(lists: pa.Array) -> pa.Array:
+    """The unsigned crc32 of each list's ids as little-endian unsigned 32-bit integers."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return pa.array([zlib.crc32(x) for x in np.split(flat, ends[:-1])] if len(lists) else [], pa.int64())
 
 
 def ids_crc32(df: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> DataFrame:
@@ -232,10 +250,6 @@ def ids_crc32(df: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> DataFr
 
     @F.arrow_udf(T.LongType())
     def run(column: pa.Array) -> pa.Array:
-        import zlib
-
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
-        return pa.array([zlib.crc32(x) for x in np.split(flat, ends[:-1])] if len(column) else [], pa.int64())
+        return _crc32(column)
 
     return df.withColumn(out, run(F.col(ids)))
