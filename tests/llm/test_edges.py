@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, hamming, packing, queries, sharding, token_file
+from textloom.llm import bpe, cross_entropy, hamming, packing, queries, sharding, token_file
 from textloom.llm.cross_entropy import Losses
 from textloom.llm.line_rules import LineRules
 from textloom.llm.minhash import NearDuplicates
@@ -179,3 +179,13 @@ def test_token_file_forgets_its_encoder(docs, tmp_path):
     spark = docs.sparkSession
     plain = token_file.ids_crc32(token_file.read(spark, str(tmp_path))).drop("ids")
     assert sorted(map(str, token_file.read(spark, str(tmp_path), crc32="ids_crc32").collect())) == sorted(map(str, plain.collect()))
+
+
+def test_cross_entropy_counts_without_the_encoder():
+    with open(RANKS, "rb") as f:
+        made = weakref.ref(bpe._once(bpe.Encoder, f.read(), public_tokenizers.PATTERN))
+    ids = pa.array([np.array([3, 4, 3], "<u2").tobytes()], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([True]), ids], names=["row", "target", "ids"])
+    [(rows, _, _, codes)] = cross_entropy._portions(50_000, iter([batch]))
+    assert rows.tolist() == [7] and codes.tolist() == [50_000 * 50_000 + 3, 3 * 50_000 + 4, 4 * 50_000 + 3]
+    assert made() is None

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import Encoder, _once, _rank_bytes, parse_ranks
-from textloom.llm.common import HOT_KEYS, slices, stored
+from textloom.llm.bpe import _MADE, Encoder, _once, _rank_bytes, parse_ranks
+from textloom.llm.common import HOT_KEYS, forget, slices, stored
 
 #: Tokens that the prior of a bigram's context counts for; counts added to each unigram.
 PRIOR, ADDED = 4.0, 0.5
@@ -31,7 +31,11 @@ PORTION = 2_000_000
 
 
 def _portions(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, targets, document of each bigram, bigram codes) of bounded portions; `size` is the start symbol."""
+    """(row numbers, targets, document of each bigram, bigram codes) of bounded portions; `size` is the start symbol.
+
+    The ids are all written by now, so the worker's encoder goes first.
+    """
+    forget(_MADE)
     dtype = "<u4" if size >= 1 << 16 else "<u2"
     rows, targets, ids, total = [], [], [], 0
 
