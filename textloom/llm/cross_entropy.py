@@ -7,9 +7,10 @@ of unigrams and of bigrams, are scaled to as many tokens as the target has, so t
 document's score is its mean loss under the target model less that under the background model, so the lower, the more
 it is like the target.
 
-Bigrams are counted in portions of documents, then over all. For scoring, each portion sends one row for each of its
-bigrams, with the documents that have it and how often; the row meets its weight and leaves sums for the documents.
-The few bigrams that make up a large share of all tokens meet their weights where they are and are not exchanged.
+Bigrams are counted in portions of documents, then over all. For scoring, each portion asks once for each of its
+bigrams and is answered with the losses, and the ids of its documents meet these in memory: what is exchanged are the
+ids and, for each portion, its different bigrams, never one row for each document that has a bigram. No exchange
+depends on whether a table is small enough to be broadcast, so figures of small tables carry on to large ones.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.bpe import _MADE, Encoder, _once, _rank_bytes, parse_ranks
-from textloom.llm.common import HOT_KEYS, forget, slices, stored
+from textloom.llm.common import forget, slices, stored
 
 #: Tokens that the prior of a bigram's context counts for; counts added to each unigram.
 PRIOR, ADDED = 4.0, 0.5
@@ -30,50 +33,63 @@ PRIOR, ADDED = 4.0, 0.5
 PORTION = 2_000_000
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with a column portion: a number for each PORTION of a task's ids, in their order."""
+    first, before = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        n = batch.column("n_tokens").to_numpy(zero_copy_only=False)
+        ends = before + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + (ends - n) // PORTION)], names=[*batch.schema.names, "portion"])
+        before = int(ends[-1]) if len(ends) else before
+
+
+def _dtype(size: int) -> str:
+    return "<u4" if size >= 1 << 16 else "<u2"
+
+
+def _bigrams(size: int, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, code) of each bigram of documents, some of which may have no ids; `size` is the start symbol."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+    before = np.empty_like(flat)
+    before[1:] = flat[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = size
+    return np.repeat(np.arange(len(ids)), sizes), before * size + flat
+
+
 def _portions(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, targets, document of each bigram, bigram codes) of bounded portions; `size` is the start symbol.
+    """(portion of each document, targets, document of each bigram, bigram codes) of each portion; the column row has
+    its number.
 
     The ids are all written by now, so the worker's encoder goes first.
     """
     forget(_MADE)
-    dtype = "<u4" if size >= 1 << 16 else "<u2"
-    rows, targets, ids, total = [], [], [], 0
-
-    def out():
-        sizes = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids).astype(np.int64)
-        before = np.empty_like(flat)
-        before[1:] = flat[:-1]
-        before[np.cumsum(sizes)[:-1]] = size
-        before[0] = size
-        return np.array(rows), np.array(targets), np.repeat(np.arange(len(ids)), sizes), before * size + flat
-
+    rows, targets, ids = [], [], []
     for batch in batches:
         for row, target, data in zip(batch.column("row").to_pylist(), batch.column("target").to_pylist(), batch.column("ids"), strict=True):
-            x = np.frombuffer(data.as_buffer(), dtype)
-            if len(x):
-                rows.append(row)
-                targets.append(target)
-                ids.append(x)
-                total += len(x)
-            if total >= PORTION:
-                yield out()
-                rows, targets, ids, total = [], [], [], 0
-    if ids:
-        yield out()
+            if rows and row != rows[0]:
+                yield np.array(rows), np.array(targets), *_bigrams(size, ids)
+                rows, targets, ids = [], [], []
+            rows.append(row)
+            targets.append(target)
+            ids.append(np.frombuffer(data.as_buffer(), _dtype(size)))
+    if rows:
+        yield np.array(rows), np.array(targets), *_bigrams(size, ids)
 
 
 class Losses:
     """Token and document losses of all documents.
 
-    docs: doc_id, text, and target (boolean; null counts as false). Null texts are empty. Rows are told apart by
+    docs: doc_id, text, and target (boolean; null counts as false), or the targets in a table of their own with one
+    row for each doc_id, which then meets the ids instead of the texts. Null texts are empty. Rows are told apart by
     their place in the table of ids that is written once to the shared folder. With no target documents (or no
     others) that model is the even one over the vocabulary.
     """
 
-    def __init__(self, docs: DataFrame, ranks_path: str, pattern: str):
+    def __init__(self, docs: DataFrame, ranks_path: str, pattern: str, targets: DataFrame | None = None):
         data = _rank_bytes(docs, ranks_path)
-        self.size = max(parse_ranks(data.value).values()) + 1
+        self.size = size = max(parse_ranks(data.value).values()) + 1
+        dtype, own = np.dtype(_dtype(size)), targets is None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = _once(Encoder, data.value, pattern)
@@ -81,30 +97,39 @@ class Losses:
                 for k, count in slices(batch.column("text")):
                     part = batch.slice(k, count)
                     ids, places = encoder.encode_texts(part.column("text"))
-                    small = ids.astype("<u4" if self_size >= 1 << 16 else "<u2")
-                    packed = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer((places * small.itemsize).astype(np.int32)), pa.py_buffer(small)])
+                    packed = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer((places * dtype.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(dtype))])
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("target"), pa.array(np.diff(places)), packed], names=["doc_id", "target", "n_tokens", "ids"])
 
-        self_size = self.size
-        rows = docs.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-        self.tokens = stored(rows.mapInArrow(run, f"{docs.select('doc_id').schema[0].simpleString().replace(':', ' ')}, target boolean, n_tokens long, ids binary").withColumn("row", F.monotonically_increasing_id()))
+        encoded = T.StructType([docs.select("doc_id").schema[0], T.StructField("target", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+        numbered = T.StructType([*encoded, T.StructField("portion", T.LongType())])
+        rows = docs.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target") if own else F.lit(None).cast("boolean").alias("target"))
+        if own:
+            self.tokens = stored(rows.mapInArrow(lambda batches: _numbered(run(batches)), numbered))
+        else:
+            met = rows.mapInArrow(run, encoded).drop("target").join(targets.select("doc_id", "target").hint("merge"), "doc_id", "left")
+            self.tokens = stored(met.select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "n_tokens", "ids").mapInArrow(_numbered, numbered))
 
     def counts(self) -> DataFrame:
-        """gram (previous id * vocabulary + id), t, b: how often target and other documents have it."""
+        """portion, gram (previous id * vocabulary + id), t, b: how often target and other documents of it have it.
+
+        A portion that was read in parts has more than one row for a bigram.
+        """
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, targets, doc, codes in _portions(size, batches):
+            for rows, targets, doc, codes in _portions(size, batches):
                 grams, at = np.unique(codes, return_inverse=True)
                 t = np.bincount(at, weights=targets[doc], minlength=len(grams)).astype(np.int64)
                 b = np.bincount(at, minlength=len(grams)) - t
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(t), pa.array(b.astype(np.int64))], names=["gram", "t", "b"])
+                for k in range(0, len(grams), 100_000):
+                    part = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams[part]), rows[0])), pa.array(grams[part]), pa.array(t[part]), pa.array(b[part].astype(np.int64))], names=["portion", "gram", "t", "b"])
 
-        return self.tokens.select("row", "target", "ids").mapInArrow(run, "gram long, t long, b long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+        return self.tokens.select(F.col("portion").alias("row"), "target", "ids").mapInArrow(run, "portion long, gram long, t long, b long")
 
-    def weights(self) -> DataFrame:
-        """gram, target_loss, background_loss in bits, and n, how often it is in all documents."""
-        counts = stored(self.counts())
+    def weights(self, counts: DataFrame) -> DataFrame:
+        """gram, target_loss, background_loss in bits, of the bigrams counted."""
+        counts = stored(counts.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
         total_t, total_b = (int(x or 0) for x in counts.agg(F.sum("t"), F.sum("b")).first())
         scale = total_t / total_b if total_t and total_b else 1.0
         v = self.size
@@ -117,7 +142,7 @@ class Losses:
             unigram = (F.col(word) * by + ADDED) / F.lit(total * by + ADDED * v)
             return -F.log2((F.col(n) * by + PRIOR * unigram) / (F.col(context) * by + PRIOR))
 
-        return joined.select("gram", (F.col("t") + F.col("b")).alias("n"), loss("t", "wt", "ct", total_t, 1.0).alias("target_loss"), loss("b", "wb", "cb", total_b, scale).alias("background_loss"))
+        return joined.select("gram", loss("t", "wt", "ct", total_t, 1.0).alias("target_loss"), loss("b", "wb", "cb", total_b, scale).alias("background_loss"))
 
     def scores(self) -> DataFrame:
         """doc_id, n_tokens, target_loss and background_loss (mean bits a token), score (their difference).
@@ -125,67 +150,18 @@ class Losses:
         A document without tokens has losses and score 0.
         """
         size = self.size
-        weights = stored(self.weights())
-        total = weights.agg(F.sum("n")).first()[0] or 0
-        often = weights.where(F.col("n") > total / HOT_KEYS).orderBy("gram").collect()  # at most HOT_KEYS rows
-        hot = np.array([r.gram for r in often], np.int64)
-        hot_losses = np.array([(r.target_loss, r.background_loss) for r in often], np.float64).reshape(-1, 2)
-
-        def split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """(place in hot, whether it is there) of each bigram."""
-            at = np.minimum(np.searchsorted(hot, codes), max(0, len(hot) - 1))
-            return at, hot[at] == codes if len(hot) else np.zeros(len(codes), bool)
-
-        def met_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, _, doc, codes in _portions(size, batches):
-                at, here = split(codes)
-                t, b = (np.bincount(doc[here], weights=hot_losses[at[here], k], minlength=len(rows)) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(t.astype(np.float64)), pa.array(b.astype(np.float64))], names=["row", "t", "b"])
-
-        def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, _, doc, codes in _portions(size, batches):
-                n_docs = len(rows)
-                cold = ~split(codes)[1]
-                doc, codes = doc[cold], codes[cold]
-                key, times = np.unique(codes * n_docs + doc, return_counts=True)
-                gram, local = np.divmod(key, n_docs)
-                first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-                pair = np.stack([rows[local], times], 1).astype("<i8").ravel()
-                cut = (np.append(first, len(gram)) * 2).astype(np.int32)
-                for k in range(0, len(first), 100_000):
-                    stop = min(k + 100_000, len(first))
-                    lists = pa.ListArray.from_arrays(pa.array(cut[k : stop + 1] - cut[k]), pa.array(pair[cut[k] : cut[stop]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[first[k:stop]]), lists], names=["gram", "posted"])
-
-        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: list[np.ndarray] = []
-            held = 0
-
-            def out():
-                row, t, b = np.concatenate(kept, axis=1)
-                some, at = np.unique(row.view(np.int64), return_inverse=True)
-                return pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(at, weights=t)), pa.array(np.bincount(at, weights=b))], names=["row", "t", "b"])
-
-            for batch in batches:
-                lists = batch.column("posted")
-                pair = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
-                n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False) // 2
-                times = pair[:, 1].astype(np.float64)
-                kept.append(np.stack([pair[:, 0].copy().view(np.float64), times * np.repeat(batch.column("target_loss").to_numpy(zero_copy_only=False), n), times * np.repeat(batch.column("background_loss").to_numpy(zero_copy_only=False), n)]))
-                held += len(pair)
-                if held >= PORTION:
-                    yield out()
-                    kept, held = [], 0
-            if held:
-                yield out()
-
-        tokens = self.tokens.select("row", "target", "ids")
-        postings = tokens.mapInArrow(posted, "gram long, posted array<long>")
-        met = postings.join(weights.drop("n"), "gram").select("posted", "target_loss", "background_loss")
-        sums = met.mapInArrow(summed, "row long, t double, b double")
-        if len(hot):
-            sums = sums.unionByName(tokens.mapInArrow(met_here, "row long, t double, b double"))
-        sums = sums.groupBy("row").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-        n = F.greatest("n_tokens", F.lit(1))
-        out = self.tokens.drop("ids").join(sums, "row", "left").select("doc_id", "target", "n_tokens", (F.coalesce("t", F.lit(0.0)) / n).alias("target_loss"), (F.coalesce("b", F.lit(0.0)) / n).alias("background_loss"))
+        asked = stored(self.counts())
+        weights = stored(self.weights(asked))
+        answers = asked.select("portion", "gram").join(weights.hint("merge"), "gram")
+        result = T.StructType([*self.tokens.select("doc_id", "target", "n_tokens").schema, T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType())])
+
+        def run(tokens: pa.Table, answers: pa.Table) -> pa.Table:
+            doc, codes = _bigrams(size, [np.frombuffer(x.as_buffer(), _dtype(size)) for x in tokens.column("ids")])
+            grams, first = np.unique(answers.column("gram").to_numpy(), return_index=True)
+            at = first[np.searchsorted(grams, codes)]
+            n = np.maximum(tokens.column("n_tokens").to_numpy(), 1)
+            means = (np.bincount(doc, weights=answers.column(c).to_numpy()[at], minlength=len(n)) / n for c in ("target_loss", "background_loss"))
+            return pa.table([*(tokens.column(c) for c in ("doc_id", "target", "n_tokens")), *map(pa.array, means)], names=result.names)
+
+        out = self.tokens.groupBy("portion").cogroup(answers.groupBy("portion")).applyInArrow(run, result)
         return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -37,8 +37,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's losses; the target are the documents labelled as of good quality, the background all others."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg((F.max("quality") == 1).alias("target"))
-    docs = documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id", "left")
-    return Losses(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).scores()
+    return Losses(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, labels).scores()
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
