@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import packing
-from textloom.llm.common import Scratch, stored
+from textloom.llm.common import KeyFilter, Scratch, stored
 from textloom.llm.line_rules import LineRules, without_lines
 from textloom.llm.minhash import NearDuplicates, Plan
-from textloom.llm.passages import RepeatedPassages, text_key, without_stretches
+from textloom.llm.passages import DOCUMENT, RepeatedPassages, text_key, without_stretches
 from textloom.llm.quality import QualityScores
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,13 +56,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Stretches of words that an earlier document has go; so do documents of which no word is left by that.
 
     Null texts and rows without doc_id stay as they are; rows equal in id and text lose the same words, rows of one id
-    with other texts their own.
+    with other texts their own. Only texts that may lose words are exchanged.
     """
-    spans = RepeatedPassages(docs).stretches().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"))
-    cut = docs.withColumn("text_key", text_key("text")).join(stored(spans), ["doc_id", "text_key"], "left")
+    spans = stored(RepeatedPassages(docs).stretches().groupBy(*DOCUMENT).agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans")))
+    rows, touched = docs.withColumn("text_key", text_key("text")), KeyFilter(spans, DOCUMENT)
+    cut = touched.some(rows).join(spans, DOCUMENT, "left")
     cut = cut.withColumn("text", without_stretches(F.col("text"), F.col("spans")))
     left = cut.where(F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _with_text(left.drop("text_key", "spans"), F.col("text"))
+    return _with_text(left.select(*COLUMNS).unionByName(touched.others(rows).select(*COLUMNS)), F.col("text"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import Scratch, all_shingles, distinct_counts, hot_join, long_lists, mix64, odd_constants, ragged_longs, sequence_keys, shingle_hashes, slices, stored, word_hashes
+from textloom.llm.common import KeyFilter, Scratch, all_shingles, distinct_counts, hot_join, long_lists, mix64, odd_constants, ragged_longs, sequence_keys, shingle_hashes, slices, stored, word_hashes
 from textloom.llm.components import connected_components
 from textloom.llm.minhash import PORTION, MinMax, Plan, similar
 
@@ -34,6 +34,9 @@ REACH = 24
 #: Words of an anchor, anchors of a window, words looked at on either side of an anchor, words of a chunk of a source.
 GRAM, WINDOW, AROUND, CHUNK = 16, 32, 48, 512
 
+#: The columns that tell documents apart.
+DOCUMENT = ["doc_id", "text_key"]
+
 _CUTS = odd_constants(3, 21)
 _GRAM = odd_constants(GRAM, 22)
 _NEVER = np.uint64(2**64 - 1)
@@ -156,7 +159,7 @@ class RepeatedPassages:
 
     def _sets(self, items: DataFrame, ids: DataFrame) -> DataFrame:
         """Full sets of some items, made from the texts."""
-        wanted = items.join(ids, "item", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "first_word", "n_words")).alias("spans"))  # one of each paragraph
+        wanted = stored(items.join(ids, "item", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "first_word", "n_words")).alias("spans")))  # one of each paragraph
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -171,7 +174,7 @@ class RepeatedPassages:
                             sets.append(np.unique(shingle_hashes(hashes[begin : begin + s["n_words"]], PLAN.width)))
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), ragged_longs(np.concatenate([np.zeros(0, np.uint64), *sets]), np.append(0, np.cumsum([len(x) for x in sets])))], names=["item", "shingles"])
 
-        rows = self.docs.join(wanted, ["doc_id", "text_key"]).select("text", "spans")
+        rows = KeyFilter(wanted, DOCUMENT).some(self.docs).join(wanted, DOCUMENT).select("text", "spans")
         return rows.mapInArrow(run, "item long, shingles array<long>").dropDuplicates(["item"])
 
     def _similar_paragraphs(self, units: DataFrame) -> DataFrame:
@@ -187,7 +190,7 @@ class RepeatedPassages:
             sources = grouped.groupBy("component").agg(F.min("source").alias("first"), F.max("last").alias("end")).where("first < end")
             keys = stored(grouped.join(sources, "component").select("k1", "k2", "rows", "first"))
             scratch.drop(found)
-            every = hot_join(lines.select("k1", "k2", "doc_id", "text_key", "first_word", "n_words"), keys, ["k1", "k2"], "rows")
+            every = hot_join(KeyFilter(keys, ["k1", "k2"]).some(lines.select("k1", "k2", "doc_id", "text_key", "first_word", "n_words")), keys, ["k1", "k2"], "rows")
             return scratch.keep(stored(every.where(document > F.col("first")).select("doc_id", "text_key", "first_word", "n_words", F.col("first.doc_id").alias("source_id"))))
 
     def _common_anchors(self, units: DataFrame) -> DataFrame:
@@ -196,7 +199,7 @@ class RepeatedPassages:
         found = units.where("n_words = 0").select("doc_id", "text_key", "first_word", F.col("k1").alias("gram"))
         with Scratch(self.docs.sparkSession) as scratch:
             again = stored(found.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1"))
-            return scratch.keep(stored(hot_join(found, again, ["gram"], "rows")))
+            return scratch.keep(stored(hot_join(KeyFilter(again, ["gram"]).some(found), again, ["gram"], "rows")))
 
     def _shared_runs(self, found: DataFrame) -> DataFrame:
         """doc_id, text_key, first_word, n_words, source_id: all words around shared anchors that are equal."""
@@ -216,7 +219,7 @@ class RepeatedPassages:
         chunks = stored(asked.groupBy(*place).agg(F.count("*").alias("rows")))
         wanted = asked.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*place, "ahead", F.greatest(F.lit(0), F.col("low") - AROUND).alias("begin"), (F.col("high") + GRAM + AROUND).alias("end"))).alias("asked"))
         given = chunks.groupBy(F.col("source_id").alias("doc_id"), F.col("source_key").alias("text_key")).agg(F.collect_list("chunk").alias("given"))
-        both = wanted.join(given, ["doc_id", "text_key"], "full")  # lists as long as the document has anchors at most
+        both = stored(wanted.join(given, DOCUMENT, "full"))  # lists as long as the document has anchors at most
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -241,8 +244,9 @@ class RepeatedPassages:
                     types = {"chunk": pa.int32(), "ahead": pa.int32(), "begin": pa.int32(), "words": pa.binary()}
                     yield pa.RecordBatch.from_arrays([pa.array(v, types.get(n, pa.int64())) for n, v in out.items()], names=list(out))
 
-        read = stored(self.docs.join(both, ["doc_id", "text_key"]).mapInArrow(words, "doc_id long, text_key long, source_id long, source_key long, chunk int, ahead int, begin int, words binary"))
         scratch.drop(asked)
+        read = stored(KeyFilter(both, DOCUMENT).some(self.docs).join(both, DOCUMENT).mapInArrow(words, "doc_id long, text_key long, source_id long, source_key long, chunk int, ahead int, begin int, words binary"))
+        scratch.drop(both)
         sources = read.where("doc_id is null").groupBy(*place).agg(F.first("begin").alias("source_begin"), F.first("words").alias("source_words")).join(chunks, place)
         beside = hot_join(read.where("doc_id is not null"), stored(sources), place, "rows")
 
