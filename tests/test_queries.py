@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from textloom import catalog
 
@@ -60,3 +61,10 @@ def test_passage_at_the_end_of_a_very_long_document(spark, tmp_path):
     spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = catalog.queries()["benchmark_contamination"](spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.item_id) for r in found] == [(1, 7)]
+
+
+def test_documents_of_one_row_group_are_many_tasks(spark, tmp_path):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(3000))) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalog._spread_fp(spark, str(tmp_path), ("token_fps",)).select("doc_key", F.spark_partition_id().alias("task"))
+    assert made.select("task").distinct().count() > 1 and made.count() == 400
